@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readsift.llm import mixing, pii, sql
+from readsift.llm import bpe, mixing, pii, sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,5 +22,9 @@ def op3_mixing(spark, sf_dir):
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-QUERIES = {"op1_pii": op1_pii, "op3_mixing": op3_mixing}
+def op9_bpe(spark, sf_dir):
+    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {"op1_pii": op1_pii, "op3_mixing": op3_mixing, "op9_bpe": op9_bpe}
 ORACLES = sql.ORACLES
