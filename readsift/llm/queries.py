@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readsift.llm import bpe, mixing, pii, sql
+from readsift.llm import bpe, langid, mixing, pii, sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op1_pii(spark, sf_dir):
     return pii.digest(found)
 
 
+def op2_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_mixing(spark, sf_dir):
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -26,5 +32,5 @@ def op9_bpe(spark, sf_dir):
     return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {"op1_pii": op1_pii, "op3_mixing": op3_mixing, "op9_bpe": op9_bpe}
+QUERIES = {"op1_pii": op1_pii, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op9_bpe": op9_bpe}
 ORACLES = sql.ORACLES
