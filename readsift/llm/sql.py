@@ -88,3 +88,12 @@ SELECT doc_id, COALESCE(n_email, 0) AS n_email, COALESCE(n_ip, 0) AS n_ip, COALE
        sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans
 FROM d LEFT JOIN g USING (r)
 """
+
+ORACLES["op7_warc"] = """
+WITH p AS (SELECT page_id, strlen(COALESCE(html, '')) AS payload_bytes, sha1(COALESCE(html, '')) AS payload_digest FROM pages),
+h AS (SELECT payload_digest, payload_bytes, max(page_id) AS head FROM p WHERE payload_bytes >= 1000 GROUP BY ALL HAVING count(*) > 1)
+SELECT page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN head IS NOT NULL AND head IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN head IS DISTINCT FROM page_id THEN head END AS refers_to
+FROM p LEFT JOIN h USING (payload_digest, payload_bytes)
+"""
