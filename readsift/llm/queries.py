@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readsift.llm import bpe, langid, mixing, pii, quality, sql, warc
+from readsift.llm import bpe, langid, mixing, pii, quality, sql, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +37,14 @@ def op7_warc(spark, sf_dir):
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_substring(spark, sf_dir):
+    found = substring.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_bpe(spark, sf_dir):
     return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op6_fertility": op6_fertility, "op7_warc": op7_warc, "op9_bpe": op9_bpe}
+QUERIES = {"op1_pii": op1_pii, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op6_fertility": op6_fertility, "op7_warc": op7_warc, "op8_substring": op8_substring, "op9_bpe": op9_bpe}
 ORACLES = sql.ORACLES

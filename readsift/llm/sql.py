@@ -97,3 +97,20 @@ SELECT page_id, p.payload_bytes, p.payload_digest,
        CASE WHEN head IS DISTINCT FROM page_id THEN head END AS refers_to
 FROM p LEFT JOIN h USING (payload_digest, payload_bytes)
 """
+
+ORACLES["op8_substring"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT r, doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50 AND doc_id IS NOT NULL)
+),
+f AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS j FROM win JOIN f USING (h) WHERE first < doc_id),
+each AS (SELECT r, j, w[j] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS j FROM d)),
+kept AS (
+  SELECT e.r, count(g.j) AS n_removed, string_agg(e.word, ' ' ORDER BY e.j) FILTER (g.j IS NULL) AS t
+  FROM each e LEFT JOIN gone g ON e.r = g.r AND e.j = g.j GROUP BY e.r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_removed, 0) AS n_removed, sha256(COALESCE(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
