@@ -29,6 +29,8 @@ ARCHIVE_BYTES = 48 << 20
 DICTIONARY_BYTES, SAMPLE_BYTES = 64 << 10, 4 << 20
 #: Only records of this size or more are replaced by revisits.
 REVISIT_BYTES = 1000
+#: Tasks that read archives; with more archives than that, a task reads several, one after the other.
+MOST_TASKS = 20_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -200,7 +202,7 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """The records of the archives that the manifest names; each payload is held against its digest."""
-    spread = manifest.select("name").repartition(F.col("name"))
+    spread = manifest.select("name").repartition(max(1, min(manifest.count(), MOST_TASKS)))
     schema = "page_id long, url string, record_type string, payload binary, payload_digest string, payload_bytes long, refers_to long"
     return spread.mapInArrow(partial(_read, folder=folder), schema)
 
