@@ -10,6 +10,7 @@ Decoding looks ids up in the token-byte table, whose size is that of the vocabul
 from __future__ import annotations
 
 import base64
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -17,16 +18,22 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from readsift.llm.common import cut, slices
+from readsift.llm.common import shared_dir, slices
 
 #: Text of a block in bytes; a longer document is a block of its own.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 #: Positions that are put together at once.
 POSITIONS = 1 << 20
 PACKED = "block string, bucket int, body binary"
+#: Tokens that are decoded at once.
+TOKENS = 1 << 20
 
 
 def vocabulary(path: str | None = None, pattern: str | None = None) -> tuple[str, str]:
@@ -50,8 +57,13 @@ def _encoding(path: str, pattern: str):
 
 
 @lru_cache(maxsize=2)
-def _token_bytes(path: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in _ranks(path).items()}
+def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table: all tokens' bytes by id, where each begins and how long it is (-1: no such id)."""
+    ranks = {rank: token for token, rank in _ranks(path).items()}
+    tokens = [ranks.get(i) for i in range(max(ranks) + 1)]
+    size = np.array([-1 if t is None else len(t) for t in tokens], np.int64)
+    held = np.maximum(size, 0)
+    return np.frombuffer(b"".join(t or b"" for t in tokens), np.uint8), np.cumsum(held) - held, size
 
 
 def _pack(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
@@ -76,27 +88,27 @@ def _unpack(body: bytes) -> tuple[list[np.ndarray], bytes]:
     return arrays, raw[at:]
 
 
+_SPACE = regex.compile(r"\s")
+
+
 class _Pieces(dict):
     """Numbers of the pre-tokens of a piece of text, found once per piece; the words get numbers as they come."""
 
     def __init__(self, words: dict[str, int], rx, lead: str):
         self.words, self.rx, self.lead = words, rx, lead
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        words = self.words
-        self[piece] = found = tuple(words.setdefault(w, len(words)) for w in self.rx.findall(self.lead + piece))
+    def __missing__(self, piece: str) -> tuple[int, ...] | None:
+        """None for a piece that is empty or begins with white space: the space before it may join that."""
+        words, found = self.words, None
+        if not self.lead or (piece and not _SPACE.match(piece)):
+            found = tuple(words.setdefault(w, len(words)) for w in self.rx.findall(self.lead + piece))
+        self[piece] = found
         return found
 
 
 def _split(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """Blocks of documents: a row in bucket -1 with ids and positions, and a row for each bucket that has words."""
-    import uuid
-
-    import regex
-
     rx = regex.compile(pattern)
-    #: A space before more white space or the end may join it; elsewhere a text can be cut before each space.
-    joined = regex.compile(r" (?=\s|\Z)")
     words: dict[str, int] = {}
     first, later = _Pieces(words, rx, ""), _Pieces(words, rx, " ")
     ids: list[pa.Array] = []
@@ -111,10 +123,14 @@ def _split(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int) -> I
             for x in ids:
                 out.write_batch(pa.record_batch([x], names=["id"]))
         seq = np.concatenate(sequences) if sequences else np.zeros(0, np.uint32)
+        order = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
+        seq, named = rank[seq], list(words)
         rows = [(-1, _pack(np.array(counts, np.uint32), seq, tail=sink.getvalue().to_pybytes()))]
         buckets: dict[int, tuple[list[int], list[bytes]]] = {}
-        for number, word in enumerate(words):
-            raw = word.encode()
+        for number, old in enumerate(order.tolist()):
+            raw = named[old].encode()
             here = buckets.setdefault(zlib.crc32(raw) % n_buckets, ([], []))
             here[0].append(number)
             here[1].append(raw)
@@ -129,12 +145,12 @@ def _split(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int) -> I
             if not text:
                 counts.append(0)
                 continue
-            if joined.search(text):
-                found = [words.setdefault(w, len(words)) for w in rx.findall(text)]
-            else:
-                pieces = text.split(" ")
+            pieces = text.split(" ")
+            try:
                 found = list(first[pieces[0]])
                 found.extend(chain.from_iterable(map(later.__getitem__, pieces[1:])))
+            except TypeError:  # not a text that can be cut before each space
+                found = [words.setdefault(w, len(words)) for w in rx.findall(text)]
             counts.append(len(found))
             sequences.append(np.array(found, np.uint32))
             held += len(text)
@@ -168,20 +184,17 @@ def _encode_bucket(rows: pa.Table, path: str, pattern: str) -> pa.Table:
     return pa.table([rows.column("block"), rows.column("bucket"), pa.array(bodies, pa.binary())], names=["block", "bucket", "body"])
 
 
-def _assemble(rows: pa.Table, id_type: pa.DataType) -> pa.Table:
+def _assemble(positions: pa.Table, encoded: pa.Table, id_type: pa.DataType) -> pa.Table:
     """The documents of one block: ids of its words by position."""
-    numbers, lengths, flats, docs = [], [], [], None
-    for bucket, body in zip(rows.column("bucket").to_pylist(), rows.column("body").to_pylist()):
-        arrays, tail = _unpack(body)
-        if bucket < 0:
-            docs, (counts, sequence) = pa.ipc.open_stream(tail).read_all().column("id"), arrays
-        else:
-            numbers.append(np.cumsum(arrays[0], dtype=np.int64))
-            lengths.append(arrays[1].astype(np.int64))
-            flats.append(arrays[2])
+    (counts, sequence), tail = _unpack(positions.column("body")[0].as_py())
+    docs = pa.ipc.open_stream(tail).read_all().column("id")
+    numbers, lengths, flats = [], [], []
+    for body in encoded.column("body"):
+        arrays, _ = _unpack(body.as_py())
+        numbers.append(np.cumsum(arrays[0], dtype=np.int64))
+        lengths.append(arrays[1].astype(np.int64))
+        flats.append(arrays[2])
     schema = pa.schema([("doc_id", id_type), ("ids", pa.list_(pa.int32()))])
-    if docs is None:
-        return schema.empty_table()
     at = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
     long = np.concatenate(lengths) if lengths else at
     start, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
@@ -215,23 +228,49 @@ def encode(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", path:
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     given = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = given.schema["id"].dataType
-    blocks = cut(given.mapInArrow(partial(_split, pattern=pattern, n_buckets=n_buckets), PACKED))
+    blocks = _stored(given.mapInArrow(partial(_split, pattern=pattern, n_buckets=n_buckets), PACKED), n_buckets)
     words = blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda rows: _encode_bucket(rows, path, pattern), PACKED)
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import ArrayType, IntegerType, StructType
-
     schema = StructType().add("doc_id", kind).add("ids", ArrayType(IntegerType()))
     id_type = to_arrow_type(kind)
-    return blocks.where("bucket < 0").unionByName(words).groupBy("block").applyInArrow(lambda rows: _assemble(rows, id_type), schema)
+    positions = blocks.where("bucket < 0").groupBy("block")
+    return positions.cogroup(words.groupBy("block")).applyInArrow(lambda left, right: _assemble(left, right, id_type), schema)
+
+
+def _stored(packed: DataFrame, n: int) -> DataFrame:
+    """The packed rows as a table in the shared folder, dealt by block, so that the last step need not shuffle positions.
+
+    The table's entry in the catalog goes at once; its files stay with the other checkpoints.
+    """
+    spark = packed.sparkSession
+    shared_dir(spark)
+    name = f"readsift_bpe_{uuid.uuid4().hex}"
+    writer = packed.write.bucketBy(n, "block")
+    writer.option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}").option("compression", "none").saveAsTable(name)
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return stored
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    table = _token_bytes(path)
+    raw, start, size = _token_bytes(path)
     for batch in batches:
-        for a in range(0, batch.num_rows, 256):
-            part = batch.slice(a, 256)
-            out = [None if ids is None else b"".join(map(table.__getitem__, ids)) for ids in part.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
+        column = batch.column("ids")
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + TOKENS, side="right")) - 1)
+            part = batch.slice(a, b - a)
+            tokens = part.column("ids").flatten().to_numpy(zero_copy_only=False)
+            each = size[tokens]
+            if len(each) and each.min() < 0:
+                raise ValueError("an id is not in the vocabulary")
+            upto = np.concatenate([[0], np.cumsum(each)])
+            data = raw[np.repeat(start[tokens] - upto[:-1], each) + np.arange(upto[-1])]
+            offsets = upto[ends[a : b + 1] - ends[a]].astype(np.int32)
+            valid = part.column("ids").is_valid()
+            out = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([*part.columns, pc.if_else(valid, out, None)], names=[*part.schema.names, "decoded"])
+            a = b
 
 
 def decode(encoded: DataFrame, *, path: str | None = None) -> DataFrame:
