@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readsift.llm import bpe, embeddings, langid, mixing, pii, quality, sql, substring, warc
+from readsift.llm import bpe, embeddings, langid, minhash, mixing, pii, quality, sql, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,5 +50,9 @@ def op9_bpe(spark, sf_dir):
     return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op5_embeddings": op5_embeddings, "op6_fertility": op6_fertility, "op7_warc": op7_warc, "op8_substring": op8_substring, "op9_bpe": op9_bpe}
+def op10_minhash(spark, sf_dir):
+    return minhash.deduplicate(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op5_embeddings": op5_embeddings, "op6_fertility": op6_fertility, "op7_warc": op7_warc, "op8_substring": op8_substring, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
 ORACLES = sql.ORACLES
