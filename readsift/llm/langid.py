@@ -90,9 +90,10 @@ def sample(docs: DataFrame, s: Settings, *, text="text", lang="lang", doc_id="do
     if held_out is not None:
         rows = rows.where(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % 4 != held_out)
     rank = F.xxhash64("id", F.length("text"))
-    counts = rows.groupBy("lang").count().withColumnRenamed("lang", "of")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # as many rows as the model has outputs
+    most = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, (2.0 * s.per_language + 50) / n))) if counts else F.create_map().cast("map<string,double>")
     share = (F.xxhash64(rank, F.lit(1)).bitwiseAND((1 << 30) - 1) / float(1 << 30)).alias("share")
-    near = rows.withColumn("share", share).join(counts, F.col("lang") == F.col("of")).where(F.col("share") * F.col("count") <= 2.0 * s.per_language + 50)
+    near = rows.withColumn("share", share).where(F.col("share") <= most[F.col("lang")])
     order = Window.partitionBy("lang").orderBy("share", "id")
     few = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= s.per_language).select("lang", "n", "text")
 
@@ -107,8 +108,7 @@ def sample(docs: DataFrame, s: Settings, *, text="text", lang="lang", doc_id="do
 def fit(docs: DataFrame, settings: Settings = Settings(), **columns) -> Model | None:
     """The model of the labelled rows, or None where no labelled row has a letter."""
     rows = sorted(sample(docs, settings, **columns).collect(), key=lambda r: (r["lang"], r["n"]))
-    x = np.array([np.unpackbits(np.frombuffer(r["seen"], np.uint8)) for r in rows], np.float32).reshape(len(rows), -1)
-    rows, x = [r for r, some in zip(rows, x.any(1)) if some], x[x.any(1)] if len(rows) else x
+    rows = [r for r in rows if any(r["seen"])]
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return None
@@ -118,17 +118,19 @@ def fit(docs: DataFrame, settings: Settings = Settings(), **columns) -> Model |
         place[r["lang"]] = place.get(r["lang"], 0) + 1
         if place[r["lang"]] <= settings.landmarks:
             marks.append(i)
-    landmarks = x[marks]
+    unpacked = lambda some: np.array([np.unpackbits(np.frombuffer(r["seen"], np.uint8)) for r in some], np.float32)
+    landmarks = unpacked([rows[i] for i in marks])
     values, vectors = np.linalg.eigh(_kernel(landmarks, landmarks).astype(np.float64))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    z = _kernel(x, landmarks).astype(np.float64) @ root
+    kernels = [_kernel(unpacked(rows[a : a + 128]), landmarks) for a in range(0, len(rows), 128)]
+    z = np.concatenate(kernels).astype(np.float64) @ root
     y = np.array([[1.0 if r["lang"] == name else -1.0 for name in languages] for r in rows])
     size = np.array([place[r["lang"]] for r in rows], np.float64)[:, None]
     w = (z / size).T @ z  # each language weighs the same
     beta = np.linalg.solve(w + settings.ridge * np.eye(w.shape[0]) * np.trace(w) / w.shape[0], (z / size).T @ y)
     per_landmark = (root @ beta) / np.sqrt(landmarks.sum(1))[:, None]
-    return Model(languages, (landmarks.T.astype(np.float64) @ per_landmark).astype(np.float32), settings)
+    return Model(languages, landmarks.T @ per_landmark.astype(np.float32), settings)
 
 
 def predict(docs: DataFrame, model: Model | None, *, text="text", doc_id="doc_id") -> DataFrame:
@@ -155,7 +157,7 @@ def predict(docs: DataFrame, model: Model | None, *, text="text", doc_id="doc_id
                 share = (e / e.sum(1, keepdims=True)).astype(np.float64)
                 best = f.argmax(1)
                 for i in np.flatnonzero(sizes):
-                    names[i], scores[i] = model.languages[best[i]], min(1.0, share[i, best[i]])
+                    names[i], scores[i] = model.languages[best[i]], round(min(1.0, share[i, best[i]]), 6)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     return given.mapInArrow(scored, schema)
