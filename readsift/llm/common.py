@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text held at once by a Python worker, in bytes, when a batch is cut up.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
