@@ -1,14 +1,58 @@
-"""A corpus pipeline of stages, each written and read again before the next."""
+"""A corpus pipeline: language ID, near-duplicates, secrets, mixing to target weights, byte-level BPE.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from readsift.llm import bpe, langid, minhash, mixing, secrets
+from readsift.llm.common import shared_dir
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language: those without letters, without text or with a score below the bound go."""
+    return langid.accepted(docs, langid.fit(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least id, of each group of near copies."""
+    return minhash.representatives(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with confirmed secrets replaced by a mark and n_chars set anew where that happened."""
+    return secrets.redact(docs)
+
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the target weights of its source say: none, once or several times."""
+    return mixing.mix_documents(docs)
 
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each row, with their number and the digests of ids and decoded bytes."""
+    decoded = bpe.decode(bpe.encode(docs))
+    return bpe.digest(decoded, ids=True)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secret_scan), ("mix", mix), ("tokens", tokens)]
+
+#: SQL cannot express kernel regression, near-duplicate classes, a forest or byte-pair merges; tests hold the stages
+#: against brute-force versions.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``, in a new folder of the shared place."""
+    shared_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs

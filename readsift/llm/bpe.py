@@ -281,8 +281,8 @@ def decode(encoded: DataFrame, *, path: str | None = None) -> DataFrame:
     return encoded.mapInArrow(partial(_decode, path=vocabulary(path)[0]), schema)
 
 
-def digest(decoded: DataFrame) -> DataFrame:
+def digest(decoded: DataFrame, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256, and the ids if asked for."""
     said = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return decoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
-    )
+    columns = ["doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256")]
+    return decoded.select(*columns, *(["ids"] if ids else []))

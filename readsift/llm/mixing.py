@@ -64,14 +64,30 @@ def mix_plan(docs: DataFrame, *, text="text", source="source", doc_id="doc_id",
     return joined.withColumn("copies", whole.cast("long") + extra)
 
 
-def mix_documents(docs: DataFrame, **how) -> DataFrame:
+#: Sources up to which their rates are broadcast; beyond, copies are joined back by document.
+MOST_BROADCAST = 10_000
+
+
+def mix_documents(docs: DataFrame, *, text="text", source="source", doc_id="doc_id", weights=WEIGHTS, cap=CAP, seed=SEED) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns that came in.
 
-    The plan is made per distinct (id, source), so rows with the same id and source are all repeated alike.
+    What a document's source is taken at is enough to tell its copies, so the rates travel to the documents while
+    there are few sources; with many, the copies of ``mix_plan`` are joined by id and source.
     """
-    doc_id, source = how.get("doc_id", "doc_id"), how.get("source", "source")
-    plan = mix_plan(docs, **how).groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("copies").alias("__copies"))
-    on = docs[doc_id].eqNullSafe(plan["__id"]) & docs[source].eqNullSafe(plan["__source"])
-    taken = docs.join(plan, on).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    from readsift.llm.common import cut
+
+    sizes = docs.select(F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    targets = cut(source_targets(sizes, weights, cap))
+    if targets.count() <= MOST_BROADCAST:
+        rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+        rates = F.broadcast(targets.select(F.col("source").alias("__source"), rate.alias("__rate")))
+        joined = docs.join(rates, docs[source].eqNullSafe(F.col("__source")))
+        whole = F.floor("__rate")
+        copies = whole + (draw(docs[doc_id], seed) < F.col("__rate") - whole).cast("long")
+    else:
+        plan = mix_plan(docs, text=text, source=source, doc_id=doc_id, weights=weights, cap=cap, seed=seed).groupBy("doc_id", "source").agg(F.max("copies").alias("__copies"))
+        plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "__copies")
+        joined = docs.join(plan, docs[doc_id].eqNullSafe(F.col("__id")) & docs[source].eqNullSafe(F.col("__source")))
+        copies = F.col("__copies")
+    taken = joined.withColumn("__n", copies.cast("int")).where("__n > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*(docs[c] for c in docs.columns))

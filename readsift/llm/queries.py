@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readsift.llm import bpe, embeddings, langid, minhash, mixing, pii, quality, sql, substring, warc
+from readsift.llm import bpe, embeddings, langid, minhash, mixing, pii, quality, secrets, sql, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_mixing(spark, sf_dir):
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op4_secrets(spark, sf_dir):
+    return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
+
+
 def op5_embeddings(spark, sf_dir):
     return embeddings.link(table(spark, sf_dir, "embeddings"))
 
@@ -54,5 +58,5 @@ def op10_minhash(spark, sf_dir):
     return minhash.deduplicate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op5_embeddings": op5_embeddings, "op6_fertility": op6_fertility, "op7_warc": op7_warc, "op8_substring": op8_substring, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
+QUERIES = {"op1_pii": op1_pii, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op4_secrets": op4_secrets, "op5_embeddings": op5_embeddings, "op6_fertility": op6_fertility, "op7_warc": op7_warc, "op8_substring": op8_substring, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
 ORACLES = sql.ORACLES
