@@ -31,10 +31,11 @@ def capacity(bits: int, fpr: float, num_hash: int) -> int:
 
 
 def gamma_fit(mean_: Column, mean_log: Column) -> tuple[Column, Column]:
-    """Shape and scale of a gamma distribution, by the closed approximation from the mean and the mean logarithm."""
+    """Shape and scale of a gamma distribution, by the closed approximation from the mean and the mean logarithm; null
+    where all values are equal."""
     s = F.ln(mean_) - mean_log
-    shape = (3 - s + F.sqrt((s - 3) * (s - 3) + 24 * s)) / (12 * s)
-    return shape, mean_ / shape
+    shape = F.when(s > 0, F.try_divide(3 - s + F.sqrt((s - 3) * (s - 3) + 24 * s), 12 * s))
+    return shape, F.try_divide(mean_, shape)
 
 
 def beta_fit(mean_: Column, variance_: Column) -> tuple[Column, Column]:

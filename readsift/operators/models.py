@@ -33,7 +33,8 @@ class Side:
         if self.dist == "beta":
             return stats.beta_density(x, *self.params)
         sample, h = np.array(self.sample, np.float64), self.h
-        return F.arrow_udf(lambda v: pa.array(stats.kde_density(v.to_numpy(zero_copy_only=False), sample, h), pa.float64()), "double")(x)
+        at = F.arrow_udf(lambda v: pa.array(stats.kde_density(v.to_numpy(zero_copy_only=False), sample, h), pa.float64()), "double")
+        return at.asNondeterministic()(x)  # keeps the planner from moving it into expressions that can't hold it
 
 
 Model = dict[str, Side]
