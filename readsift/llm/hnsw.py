@@ -27,10 +27,11 @@ def _sims(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> np.ndarr
 
 
 def _unique_rows(ids: np.ndarray) -> np.ndarray:
-    """Rows sorted downwards with repetitions replaced by -1."""
+    """Rows sorted downwards without repetitions; -1 fills what is left."""
     ids = -np.sort(-ids, axis=1)
-    ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
-    return ids
+    again = ids[:, 1:] == ids[:, :-1]
+    ids[:, 1:][again] = -1
+    return -np.sort(-ids, axis=1) if again.any() else ids
 
 
 class Graph:
@@ -73,7 +74,7 @@ class Graph:
         sims = np.full((b, beam), -np.inf, np.float32)
         done = np.ones((b, beam), bool)
         visited = np.zeros((b, len(self.vectors) + 1), bool)  # the last column takes the -1s
-        fresh = _unique_rows(start.astype(np.int64))[:, :beam] if start.shape[1] > beam else _unique_rows(start.astype(np.int64))
+        fresh = _unique_rows(start.astype(np.int64))[:, :beam]
         rows = np.arange(b)
         while len(rows):
             visited[rows[:, None], fresh] = True
