@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -32,6 +33,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a partition of what ``compact`` returns, at least where there are that many.
+SETTLED_ROWS = 50_000
+
+
+def compact(done: DataFrame, rows: int) -> DataFrame:
+    """A materialised table of so many rows in no more partitions than they need: a small table that came out of a wide
+    shuffle makes few tasks and files from here on.
+
+    Collecting the driver's garbage lets Spark delete the shuffle files of lineages that have been cut; else an operator
+    of many steps keeps those of all its steps until a collection happens by itself.
+    """
+    gc.collect()
+    done.sparkSession.sparkContext._jvm.System.gc()
+    parts = max(4, -(-rows // SETTLED_ROWS))
+    return done.coalesce(parts) if parts < done.rdd.getNumPartitions() else done
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``cut(df)``, compact."""
+    done = cut(df)
+    return compact(done, done.count())
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often the body mentions it."""
     return F.transform(F.array(value), body)[0]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readsift.llm.common import cut
+from readsift.llm.common import compact, cut
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -27,17 +27,19 @@ def _small(edges: DataFrame) -> DataFrame:
     return lifted.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
+def _done(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, materialised, with their number and a checksum."""
+    done = cut(edges)
+    state = tuple(done.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
+    return compact(done, state[0]), state
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node that it reaches) for every node of an edge (a, b) with a <> b; nulls are dropped."""
-    now = cut(_small(edges.select("a", "b").where("a <> b")))
-    state = _state(now)
+    now, state = _done(_small(edges.select("a", "b").where("a <> b")))
     while state[0]:
-        now = cut(_small(_large(now)))
-        before, state = state, _state(now)
+        before = state
+        now, state = _done(_small(_large(now)))
         if before == state:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

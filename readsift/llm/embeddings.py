@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readsift.llm.common import cut
+from readsift.llm.common import cut, settled
 from readsift.llm.components import components
 from readsift.llm.hnsw import Graph
 
@@ -163,7 +163,7 @@ def link(vectors: DataFrame, *, vec_id="vec_id", embedding="embedding", label="l
     shards = cut(dealt.select("label", "dim", "shard", "rep", "copies", "embedding").groupBy("label", "dim", "shard").applyInArrow(lambda rows: _build(rows), schema))
     other = shards.select("label", "dim", F.col("shard").alias("other"), F.col("reps").alias("others"), F.col("copies").alias("other_copies"), F.col("vectors").alias("other_vectors"), "graph")
     pairs = shards.drop("graph").join(other, ["label", "dim"]).where("other >= shard")
-    found = cut(pairs.groupBy("label", "dim", "shard", "other").applyInArrow(lambda rows: _query(rows), "rep long, root long, n long"))
+    found = settled(pairs.groupBy("label", "dim", "shard", "other").applyInArrow(lambda rows: _query(rows), "rep long, root long, n long"))
     joined = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     classes = reps.select("rep", "label", "embedding", "copies").join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")

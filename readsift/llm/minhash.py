@@ -6,10 +6,11 @@ and the signature keeps the earliest dart of each coordinate. A document of weig
 K (ln K + 2) / W, so it throws that many darts whatever its length; two documents agree in a coordinate with the
 probability of their weighted Jaccard similarity.
 
-Equal texts stand as one. Bands of the signature are joined to the first document of each bucket; those pairs are
-judged by their signatures, and exactly where these leave doubt. Buckets whose other members are still in different
-components are then compared in blocks of bounded size, so that no link between members is lost, no bucket gathers in
-one task, and a large group of copies, which is one component by then, costs nothing more.
+Equal texts stand as one. In each bucket of a band all members are paired with the one that most buckets share, which
+is the one nearest to the middle of a group; pairs are judged by their signatures, and exactly where these leave doubt.
+What is not yet one component is paired with the next such member. Buckets whose members are still apart then are
+compared exactly in blocks of bounded size that send a spanning forest, so that no link between members is lost, no
+bucket gathers in one task, and rows grow with the members of a group, not with its pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readsift.llm import rolling, sketch
-from readsift.llm.common import cut, slices
+from readsift.llm.common import cut, settled, slices
 from readsift.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -31,8 +32,8 @@ BANDS, ROWS = 32, 5
 K = BANDS * ROWS
 #: Estimates below and above which a pair is decided by its signatures: four standard deviations from SIMILARITY.
 SURELY_NOT, SURELY = SIMILARITY - 0.14, SIMILARITY + 0.13
-#: Members of a block when a bucket is compared with itself.
-BLOCK = 512
+#: Rounds in which a bucket's members are paired with one of them; members of a block, and elements at once, after that.
+ROUNDS, BLOCK, COLUMNS = 2, 2048, 4096
 _ROUND = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,7 +89,7 @@ def signatures(sets: list[np.ndarray], k: int = K) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text"):
         found = [elements((t or "").encode()) for t in batch.column("text").to_pylist()]
         some = [i for i, (e, _) in enumerate(found) if len(e)]
         if not some:
@@ -133,47 +134,95 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
 
 
-def _exact(unsure: DataFrame, docs: DataFrame, expected: int) -> DataFrame:
-    """The pairs of ``unsure`` whose weighted Jaccard similarity, by their shingles, is SIMILARITY or more.
-
-    Only documents of these pairs send shingles: a bitmap of their ids, of bounded size, chooses them where texts are read.
-    """
-    ids = unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _sets(ids: DataFrame, docs: DataFrame, expected: int) -> DataFrame:
+    """(id, set) of the documents named in ``ids``: a bitmap of their ids, of bounded size, chooses them where texts are
+    read, so that no other document sends anything but by chance."""
     wanted = sketch.build(ids.select(F.array(F.xxhash64("id")).alias("keys")), "keys", sketch.width_bits(expected), 2, 1)
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some = np.flatnonzero(shared.value(batch.column("key").to_numpy().view(np.uint64)))
-            for part in slices([batch.take(pa.array(some))], "text", 2 << 20):
+            for part in slices([batch.take(pa.array(some))], "text"):
                 found = [elements((t or "").encode())[0].view(np.int64) for t in part.column("text").to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["id", "set"])
 
     keyed = docs.where("doc_id is not null").withColumn("key", F.xxhash64("doc_id"))
-    held = keyed.mapInArrow(sets, "id long, set array<bigint>").where(F.size("set") > 0)
+    return keyed.mapInArrow(sets, "id long, set array<bigint>").where(F.size("set") > 0)
+
+
+def _exact(unsure: DataFrame, docs: DataFrame, expected: int) -> DataFrame:
+    """The pairs of ``unsure`` whose weighted Jaccard similarity, by their shingles, is SIMILARITY or more."""
+    held = _sets(unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, expected)
     a, b = held.select(F.col("id").alias("a"), F.col("set").alias("set_a")), held.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     return unsure.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_compared, "a long, b long")
 
 
+def shared_elements(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sets (rows) with sets (columns): a product over the elements that both sides have."""
+    size = [np.array([len(x) for x in side]) for side in (left, right)]
+    flat = [np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right)]
+    common = np.intersect1d(*map(np.unique, flat), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    rows, places = [], []
+    for n, values in zip(size, flat):
+        at = np.searchsorted(common, values)
+        hit = at < len(common)
+        hit[hit] = common[at[hit]] == values[hit]
+        rows.append(np.repeat(np.arange(len(n)), n)[hit])
+        places.append(at[hit])
+    for a in range(0, len(common), COLUMNS):
+        sides = []
+        for n, row, place in zip(size, rows, places):
+            here = (place >= a) & (place < a + COLUMNS)
+            m = np.zeros((len(n), min(COLUMNS, len(common) - a)), np.float32)
+            m[row[here], place[here] - a] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
 def _block_links(rows: pa.Table) -> pa.Table:
-    """Candidate pairs between two blocks of a bucket that lie in different components."""
-    rows = rows.combine_chunks()
-    sig, comp, rep, block = _unpack(rows.column("sig")), rows.column("component").to_numpy(), rows.column("rep").to_numpy(), rows.column("block").to_numpy()
-    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-    same = block.min() == block.max() or rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
-    out = [[], [], []]
-    for a in range(0, len(left), 32):
-        r = left[a : a + 32]
-        share = (sig[r][:, None, :] == sig[right][None, :, :]).mean(2)
-        good = (share >= SURELY_NOT) & (comp[r][:, None] != comp[right][None, :])
-        if same:
-            good &= rep[r][:, None] < rep[right][None, :]
-        x, y = np.nonzero(good)
-        for column, values in zip(out, (np.minimum(rep[r[x]], rep[right[y]]), np.maximum(rep[r[x]], rep[right[y]]), share[x, y])):
-            column.append(values)
-    return pa.table({"a": np.concatenate(out[0]), "b": np.concatenate(out[1]), "share": np.concatenate(out[2])})
+    """A spanning forest of the links between two blocks of a bucket, or within one, over its components."""
+    rep, comp, block = (rows.column(c).to_numpy() for c in ("rep", "component", "block"))
+    sets = [x.as_py() for x in rows.column("set")]
+    sets = [np.array(x, np.int64) for x in sets]
+    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    a, b = [], []
+    if len(left) and len(right):
+        both = shared_elements([sets[x] for x in left], [sets[x] for x in right])
+        size = np.array([len(x) for x in sets])
+        linked = both >= SIMILARITY * (size[left][:, None] + size[right][None, :] - both)
+        linked &= comp[left][:, None] != comp[right][None, :]
+        root = {int(c): int(c) for c in comp}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for x, y in zip(*np.nonzero(linked)):
+            u, v = top(int(comp[left[x]])), top(int(comp[right[y]]))
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                a.append(int(rep[left[x]]))
+                b.append(int(rep[right[y]]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _placed(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (band, rep, score) with the component of each."""
+    found = components(links).withColumnRenamed("node", "rep")
+    return rows.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def _apart(placed: DataFrame) -> DataFrame:
+    """Bands whose members are in several components; of bands with the same members one."""
+    members = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"), F.min("rep").alias("least"))
+    return members.where("low <> high").groupBy("members", "sum", "least").agg(F.min("band").alias("band")).select("band", "members")
 
 
 def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -187,39 +236,35 @@ def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> D
     texts = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     members = signed.select("doc_id", "k1", "k2").join(texts, ["k1", "k2"]).select("doc_id", "rep")
     alike = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = signed.join(texts, ["k1", "k2"]).where("doc_id = rep").select("rep", "sig").dropDuplicates(["rep"])
-    reps = cut(reps)
+    reps = cut(signed.join(texts, ["k1", "k2"]).where("doc_id = rep").select("rep", "sig").dropDuplicates(["rep"]))
     expected = reps.count()
+    a, b = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
 
     banded = reps.mapInArrow(_banded, "rep long, bands array<bigint>").select("rep", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
-    buckets = cut(banded.join(heads, "band").where("rep <> head"))
-
-    def judged(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        sure = pairs.where(F.col("share") >= SURELY).select("a", "b")
-        unsure = pairs.where(F.col("share") < SURELY)
-        return sure, _exact(unsure, given, expected)
-
-    stars = buckets.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    a, b = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-    pairs = cut(stars.join(a, "a").join(b, "b").mapInArrow(_estimated, "a long, b long, share double"))
-    sure, checked = judged(pairs)
-    links = cut(sure.unionByName(checked))
-    first = components(links)
-
-    # Buckets with members, besides the head, that are still apart. Buckets with the same members are compared once.
-    placed = buckets.where("n > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    apart = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("others"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"), F.min("rep").alias("least"))
-    apart = apart.where("low <> high").groupBy("others", "sum", "least").agg(F.min("band").alias("band"))
-    blocks = apart.select("band", F.ceil(F.col("others") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = placed.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    spread = dealt.join(reps, "rep").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("band", "rep", "component", "sig", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    late = spread.groupBy("band", "i", "j").applyInArrow(lambda rows: _block_links(rows), "a long, b long, share double")
-    late = cut(late.groupBy("a", "b").agg(F.max("share").alias("share")))
-    sure, checked = judged(late)
-    all_links = links.unionByName(sure).unionByName(checked).unionByName(alike)
-    joined = components(cut(all_links))
+    several = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = settled(banded.join(several, "band"))
+    rows = shared.join(shared.groupBy("rep").agg(F.sum("n").alias("score")), "rep").select("band", "rep", "score")
+    links = None
+    for turn in range(ROUNDS):
+        if turn:
+            placed = _placed(rows, links)
+            rows = placed.join(_apart(placed).select("band"), "band").select("band", "rep", "score")
+        heads = rows.groupBy("band").agg(F.max(F.struct("score", (-F.col("rep")).alias("minus"))).alias("h")).select("band", (-F.col("h.minus")).alias("head"))
+        rows = settled(rows.join(heads, "band").where("rep <> head"))
+        stars = rows.select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b")).distinct()
+        pairs = settled(stars.join(a, "a").join(b, "b").mapInArrow(_estimated, "a long, b long, share double"))
+        found = pairs.where(F.col("share") >= SURELY).select("a", "b").unionByName(_exact(pairs.where(F.col("share") < SURELY), given, expected))
+        links = settled(found if links is None else links.unionByName(found))
+        rows = rows.drop("head")
+
+    placed = settled(_placed(rows, links))
+    blocks = _apart(placed).select("band", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = settled(placed.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
+    sets = _sets(dealt.select(F.col("rep").alias("id")).distinct(), given, expected).withColumnRenamed("id", "rep")
+    spread = dealt.join(sets, "rep").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("band", "rep", "component", "set", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    late = spread.groupBy("band", "i", "j").applyInArrow(lambda rows: _block_links(rows), "a long, b long")
+    joined = components(settled(links.unionByName(late).unionByName(alike)))
     return members.select("doc_id").distinct().join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -66,6 +66,14 @@ def test_as_brute_force(spark, monkeypatch, seed, block):
     assert kept == {d for d, _, k in brute(rows) if k}
 
 
+def test_intersections_by_products(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    r = np.random.default_rng(3)
+    left, right = ([np.unique(r.integers(0, 60, n)) for n in r.integers(1, 40, k)] for k in (5, 9))
+    got = minhash.shared_elements(left, right)
+    assert (got == [[len(np.intersect1d(x, y)) for y in right] for x in left]).all()
+
+
 def test_no_documents(spark):
     assert minhash.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert minhash.deduplicate(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()[0].kept
