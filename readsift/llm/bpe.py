@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from readsift.llm.common import shared_dir, slices
+from readsift.llm.common import release, shared_dir, slices
 
 #: Text of a block in bytes; a longer document is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Positions that are put together at once.
 POSITIONS = 1 << 20
 PACKED = "block string, bucket int, body binary"
@@ -161,6 +161,9 @@ def _split(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int) -> I
             held = 0
     if counts:
         yield block()
+    for x in (words, first, later, ids, counts, sequences):
+        x.clear()
+    release()
 
 
 def _encode_bucket(rows: pa.Table, path: str, pattern: str) -> pa.Table:
@@ -271,6 +274,7 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
             out = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays([*part.columns, pc.if_else(valid, out, None)], names=[*part.schema.names, "decoded"])
             a = b
+    release()
 
 
 def decode(encoded: DataFrame, *, path: str | None = None) -> DataFrame:

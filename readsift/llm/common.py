@@ -61,6 +61,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers outlive their tasks, and those of one stage stand beside the next's."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that ``column`` holds about ``most`` bytes in each; a longer single value stands alone."""
     import numpy as np
@@ -74,3 +85,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYT
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    release()
