@@ -28,8 +28,9 @@ PATTERNS = {
     "iban": r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?",
     "ssn": r"[0-9]++(?:-[0-9]++)++",
 }
-#: What a text must contain for the pattern to be tried at all.
+#: What a text must contain for the pattern to be tried at all; a pattern of two digits where no one character is needed.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-"}
+DIGITS = {"card": r"[0-9][\x20-]?[0-9]", "iban": "[0-9]{2}"}
 #: Score of a match, of a passed checksum and of a context word; an added kind needs the threshold.
 SCORES = {"email": (0.7, 0.0), "ip": (0.6, 0.0), "card": (0.4, 0.4), "phone": (0.6, 0.0), "iban": (0.3, 0.5), "ssn": (0.5, 0.0)}
 CONTEXT_SCORE, THRESHOLD, CONTEXT_CHARS = 0.2, 0.7, 40
@@ -97,7 +98,7 @@ def _spans(text: Column, kind: str) -> Column:
 
     pattern = F.lit(PATTERNS[kind])
     pieces = F.struct(F.split(text, PATTERNS[kind], -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"))
-    tried = text.contains(NEEDS[kind]) if NEEDS[kind] else text.rlike("[0-9]{2}")
+    tried = text.contains(NEEDS[kind]) if NEEDS[kind] else text.rlike(DIGITS[kind])
     return F.when(tried, let(pieces, collect)).otherwise(F.array().cast(EMPTY))
 
 

@@ -56,6 +56,16 @@ def test_base_kinds_as_the_plain_patterns(spark):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == brute(given[r.doc_id]), given[r.doc_id] and given[r.doc_id][:200]
 
 
+def test_cards_with_a_separator_between_all_digits(spark):
+    cards = ["4111111111111111", "30569309025904", "6304000000000000000"]
+    given = [f"é {sep.join(c)}{end}" for c in cards for sep in (" ", "-") for end in ("", " x", ".")] + [" -".join(cards[0]), "4 1 1 1", "4 1-" * 8 + "1"]
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = pii.digest(pii.find(docs)).collect()
+    for r in got:
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == brute(given[r.doc_id]), given[r.doc_id]
+    assert sum(r.n_card for r in got) >= 12
+
+
 def test_whole_table(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in queries.op1_pii(spark, sf).collect():
