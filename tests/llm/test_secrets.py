@@ -86,3 +86,19 @@ def test_long_ordinary_values_stay():
     forest = secrets.default_forest()
     for value in ("/".join(secrets.DICTIONARY * 3), "x" * 2000, "".join(chr(0x4E00 + i * 37 % 20000) for i in range(1500))):
         assert not any(p >= secrets.THRESHOLD for *_, p in secrets.scan([f"the er on token: {value} and"], [""], forest)[0])
+
+
+def test_private_keys_with_their_body(spark):
+    key = opaque(1590, letters=LETTERS + "+/") + "=="
+    lines = [key[a : a + 64] for a in range(0, len(key), 64)]
+    first, last, head = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF", ""]
+    cases = [("\n".join([first, *lines, last]), "\nplain words")]
+    cases += [("\r\n".join([first, *head, *lines, last]), "\r\nplain words"), ("\\n".join([first, *lines, last]), '", "x": 1'), (" ".join([first, *lines, last]), " plain words")]
+    cases += [("\n".join([first, *head, *lines]), "\nplain words"), ("\n  ".join([first, *lines]), "\nname: x"), ("\\n".join([first, *lines]), '", "x": 1')]
+    cases += [("\n".join([first, *lines]), "\n-----BEGIN CERTIFICATE-----\nabc\n" + last)]
+    docs = spark.createDataFrame([(i, f"é key: {k}{rest}", "docs/readme.md") for i, (k, rest) in enumerate(cases)], "doc_id long, text string, source string")
+    for r in secrets.redact(docs).collect():
+        assert r.text == "é key: <secret>" + cases[r.doc_id][1], r.doc_id
+        assert not any(line in r.text for line in lines)
+    both = "\n".join([first, *lines[:5], last, "between them", first, *lines[5:], last])
+    assert [(f.rule, f.candidate.count("\n")) for _, _, f in secrets.candidates(both)] == [("private_key", 6), ("private_key", len(lines) - 4)]
