@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -69,3 +70,21 @@ def test_junk_is_rejected_and_prose_kept(spark, sf):
     junk = " ".join(chr(0x13000 + i % 7) for i in range(100))
     rows = quality.measure(spark.createDataFrame([(1, prose), (2, junk)], "doc_id long, text string")).collect()
     assert rows[0].kept and not rows[1].kept
+
+
+def test_bands_reject_random_characters_and_keep_clean_text(spark):
+    r = random.Random(2)
+    blocks = [(0xE000, 0xF8FF), (0x1F300, 0x1F5FF), (0x900, 0xE00), (0x590, 0x780), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4), (0xE1000, 0xE9000)]
+    junk = [" ".join("".join(chr(r.randrange(a, b)) for _ in range(r.randint(2, 9))) for _ in range(120)) for a, b in blocks]
+    clean = [
+        "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है",
+        "ସମସ୍ତ ମନୁଷ୍ୟ ଜନ୍ମକାଳରୁ ସ୍ୱାଧୀନ ଏବଂ ମର୍ଯ୍ୟାଦା ଓ ଅଧିକାରରେ ସମାନ",
+        "የሰው ልጅ ሁሉ ሲወለድ ነጻና በክብርና በመብትም እኩልነት ያለው ነው። የተፈጥሮ ማስተዋልና ሕሊና ስላለው አንዱ ሌላውን በወንድማማችነት መንፈስ መመልከት ይገባዋል።",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神互相对待。",
+        "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며",
+        "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון",
+        "All human beings are born free and equal in dignity and rights 😀. They are endowed with reason and conscience 👍",
+    ]
+    rows = quality.measure(spark.createDataFrame(list(enumerate(junk + clean)), "doc_id long, text string")).collect()
+    said = {row.doc_id: row.in_band for row in rows}
+    assert [said[i] for i in range(len(rows))] == [False] * len(junk) + [True] * len(clean)
