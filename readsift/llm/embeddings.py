@@ -2,8 +2,8 @@
 
 Copies of a vector stand as one representative. The representatives of a label are dealt into shards of bounded size; a
 graph is built per shard and each shard's vectors query every shard of their label. A query's beam is widened while all
-that it holds lies above the threshold; queries of an audit are compared with all vectors of the shard, and the beams
-of all are widened until the audit finds no link missing. Links are verified in double precision. A task keeps links as
+that it holds lies above the threshold; queries of an audit are compared with all vectors of the shard, more of them
+where links are sparse, and the beams of all are widened until the audit finds no link missing. Links are verified in double precision. A task keeps links as
 bits and sends counts and a spanning forest, so that a dense group sends rows in proportion to its members.
 """
 
@@ -21,6 +21,8 @@ from readsift.llm.hnsw import Graph
 THRESHOLD = 0.98
 #: Vectors of a shard, beam to begin with, queries of the audit of a pair of shards, least share of links it must find.
 SHARD, BEAM, AUDIT, RECALL = 8192, 48, 128, 1.0
+#: True links that an audit must see before it says anything; it takes further queries until then, or until none is left.
+AUDIT_LINKS = 128
 #: How far single precision may stray from the threshold before a candidate is dropped unverified.
 SLACK = 1e-4
 
@@ -61,9 +63,26 @@ def links(graph: Graph, queries: np.ndarray, threshold: float = THRESHOLD, *, sa
     points = _unit(graph.vectors.astype(np.float64)) if not hasattr(graph, "exact") else graph.exact
     q32 = queries.astype(np.float32)
     audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    truth = queries[audit] @ points.T >= threshold
-    if same:
-        truth[np.arange(len(audit)), audit] = False
+    rest = np.random.default_rng(1).permutation(np.setdiff1d(np.arange(len(queries)), audit))
+
+    def compared(some: np.ndarray) -> np.ndarray:
+        true = queries[some] @ points.T >= threshold
+        if same:
+            true[np.arange(len(some)), some] = False
+        return true
+
+    truths = [compared(audit)]
+    seen = truths[0].sum()
+    while seen < AUDIT_LINKS and len(rest):
+        audit, rest, some = np.concatenate([audit, rest[:512]]), rest[512:], rest[:512]
+        truths.append(compared(some))
+        seen += truths[-1].sum()
+    truth = np.concatenate(truths)
+    if not len(rest):  # all are compared: these are the links
+        found = np.zeros(truth.shape, bool)
+        found[audit] = truth
+        return found
+    del truths
     beam = BEAM
     while True:
         found = search(graph, q32, beam, threshold - SLACK)

@@ -77,6 +77,19 @@ def test_graph_recall():
     assert sum(len(set(a) & set(b[:10])) for a, b in zip(best, ids)) >= 0.95 * best.size
 
 
+@pytest.mark.parametrize("n_links", [5, 400])
+def test_audit_of_sparse_links(monkeypatch, n_links):
+    r = np.random.default_rng(4)
+    points = embeddings._unit(r.normal(size=(1500, 32)))
+    first = set(np.linspace(0, 1199, embeddings.AUDIT).astype(int).tolist())  # none of the first audit's queries has a link
+    linked = [i for i in range(1200) if i not in first][:n_links]
+    queries_ = embeddings._unit(r.normal(size=(1200, 32)))
+    queries_[linked] = embeddings._unit(points[linked] + r.normal(size=(len(linked), 32)) * 1e-3)
+    monkeypatch.setattr(embeddings, "search", lambda graph, q, beam, threshold: np.zeros((len(q), len(points)), bool))  # finds nothing
+    found = embeddings.links(Graph(points, 1), queries_)
+    assert (found == (queries_ @ points.T >= embeddings.THRESHOLD)).all() and found.sum() == n_links
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (202, 201), (201, 200), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
