@@ -15,7 +15,7 @@ from readsift.llm.common import shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language: those without letters, without text or with a score below the bound go."""
+    """Documents whose text has a language: those without letters, without text or with too small a lead of their language go."""
     return langid.accepted(docs, langid.fit(docs))
 
 

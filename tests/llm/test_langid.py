@@ -1,5 +1,7 @@
+import random
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from readsift.llm import langid, queries
@@ -39,3 +41,27 @@ def test_no_labels(spark):
 def test_presence_counts_grams_once():
     one, two = langid.presence("abc", SMALL), langid.presence("abc abc", SMALL)
     assert one.sum() == 6 and (one <= two).all()
+
+
+def invented(seed):
+    """Texts of a language of its own syllables."""
+    r = random.Random(seed)
+    syllables = [r.choice("bcdfghjklmnprstvwz") + r.choice("aeiouäöåéyı") + r.choice(["", "n", "s", "r", "l"]) for _ in range(40)]
+    words = ["".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(400)]
+    return lambda n: " ".join(r.choice(words) for _ in range(n))
+
+
+@pytest.mark.parametrize("languages", [1, 2, 4, 24])
+def test_foreign_texts_go_and_short_clean_ones_stay(spark, languages):
+    r = random.Random(5)
+    known = {f"x{k:02}": invented(k) for k in range(languages)}
+    rows = [(i, write(r.randint(20, 200)), name) for i, (name, write) in enumerate((n, w) for n, w in known.items() for _ in range(80))]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), SMALL)
+    clean = [write(10) for write in known.values() for _ in range(-(-100 // languages))]
+    foreign = [invented(100 + k)(r.randint(20, 200)) for k in range(100)]
+    foreign += ["".join(r.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(r.randint(60, 600))) for _ in range(100)]
+    foreign += ["".join(r.choice("абвгдежзиклмнопрст   ") for _ in range(r.randint(60, 600))) for _ in range(100)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(clean + foreign)], "doc_id long, text string")
+    kept = [x.doc_id for x in langid.accepted(docs, model).select("doc_id").collect()]
+    assert sum(i < len(clean) for i in kept) >= 0.95 * len(clean)
+    assert sum(i >= len(clean) for i in kept) <= 0.1 * len(foreign)
