@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +21,45 @@ BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one set here where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, one is made for a local
+    master, whose executors are on this machine; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="readsift-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A name for a new folder in the shared place."""
+    shared_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+
+
+def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder and its path there."""
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    return pyarrow.fs.FileSystem.from_uri(uri)
+
+
+def remove(folder: str) -> None:
+    """Delete a folder of the shared place."""
+    system, path = file_system(folder)
+    system.delete_dir(path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` has not."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage."""
     shared_dir(df.sparkSession)
@@ -86,3 +119,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYT
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
     release()
+
+
+_WHITE = re.compile(rb"[\x09-\x0d\x20]")
+#: Text that is cut into words at once, in bytes; a single longer word stands alone.
+PIECE_BYTES = 1 << 20
+
+
+def pieces(raw: bytes, most: int = PIECE_BYTES) -> Iterator[bytes]:
+    """The text in pieces that end at white space, so that the words of the pieces are the words of the text."""
+    at = 0
+    while len(raw) - at > most:
+        gap = _WHITE.search(raw, at + most)
+        if gap is None:
+            break
+        yield raw[at : gap.start()]
+        at = gap.start()
+    yield raw[at:] if at else raw

@@ -41,7 +41,7 @@ def op6_fertility(spark, sf_dir):
 
 
 def op7_warc(spark, sf_dir):
-    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    found = warc.round_trip(table(spark, sf_dir, "pages"), payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
