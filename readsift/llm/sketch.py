@@ -95,6 +95,6 @@ def build(keyed: DataFrame, column: str, bits: int, depth: int, threshold: int)
     parts = keyed.select(column).mapInArrow(counted, schema).groupBy("row", "block").applyInArrow(lambda key, rows: merged(key, rows), schema)
     rows = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(depth)]
     step = 1 << (block_bits - 3)
-    for part in parts.toLocalIterator():
+    for part in parts.collect():  # as many bytes as the sketch has, whatever the input
         rows[part["row"]][part["block"] * step : (part["block"] + 1) * step] = np.frombuffer(part["body"], np.uint8)
     return Repeated(bits, rows)

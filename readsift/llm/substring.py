@@ -6,59 +6,96 @@ twentieth of their number. 1. Partition sketches of anchors, merged, tell which
 the sketch overestimates and loses none. 2. Runs with such anchors are grouped exactly: by the 128-bit hash of all
 their windows; a document that is not the first with a run loses it whole. 3. Only where an anchor has runs of several
 kinds can single windows be shared between kinds: the windows of the first document of each kind are grouped by their
-own 128-bit hash. What is removed is joined to the texts by document.
+own 128-bit hash. Only the texts of documents that lose words meet what is removed in a join; a bitmap of their ids, of
+bounded size, chooses them where texts are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructType
 
 from readsift.llm import rolling, sketch
-from readsift.llm.common import cut, slices
+from readsift.llm.common import cut, pieces, release, settled, slices
 
 SIZE, GRAM = 50, 8
 #: A run is cut after this many windows, counted from its start, so that rows stay small in periodic texts.
 LONGEST_RUN = 64
+#: Words whose windows are looked at together; a longer text is cut there, and its runs with it.
+CHUNK = 1 << 19
 DEPTH = 3
 #: Bytes of text that are expected to bring one anchor; only the sketch's width depends on it.
 BYTES_PER_ANCHOR = 100
 
 
-def _runs(raw: bytes, size: int, gram: int):
-    """Runs of windows of a text: anchors, starts, lengths, and the two lanes of window hashes."""
-    start, end = rolling.words(raw)
-    if len(start) < size:
-        return None
-    hashes = rolling.word_hashes(raw, start, end)
-    anchors = rolling.sliding_min(rolling.windows(hashes[:1], gram)[0], size - gram + 1)
-    change = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
-    length = np.diff(np.append(change, len(anchors)))
-    if length.max() > LONGEST_RUN:
-        pieces = -(-length // LONGEST_RUN)
-        inner = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        change = np.repeat(change, pieces) + inner * LONGEST_RUN
-        length = np.diff(np.append(change, len(anchors)))
-    return anchors[change], change, length, hashes
-
-
-def _kinds(hashes: list[np.ndarray], start: np.ndarray, length: np.ndarray, size: int) -> list[np.ndarray]:
-    """What tells runs apart: all words that their windows cover, and their number."""
-    end = start + length + size - 1
-    return [rolling.scramble(rolling.between(rolling.sums(h, 2 + lane), start, end, 2 + lane) ^ length.astype(np.uint64)) for lane, h in enumerate(hashes)]
+class _Runs:
+    """Runs of windows of some texts: the text of each, anchor, start in its text, number of windows."""
+
+    def __init__(self, lanes: list[np.ndarray], first: np.ndarray, counts: np.ndarray, a: int, size: int, gram: int):
+        upto = min(a + CHUNK, len(lanes[0]))
+        self.lanes, self.size = [x[a : upto + size - 1] for x in lanes], size
+        low, high = np.maximum(first, a), np.minimum(first + counts - size + 1, upto)
+        some = np.flatnonzero(high > low)
+        at = rolling.ranges(low[some] - a, (high - low)[some])
+        owner = np.repeat(some, (high - low)[some])
+        anchors = rolling.sliding_min(rolling.windows(self.lanes[0], gram), size - gram + 1)[at] if len(at) else np.zeros(0, np.uint64)
+        new = np.ones(len(at), bool)
+        new[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])
+        change = np.flatnonzero(new)
+        length = np.diff(np.append(change, len(at)))
+        if len(length) and length.max() > LONGEST_RUN:
+            parts = -(-length // LONGEST_RUN)
+            inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            change = np.repeat(change, parts) + inner * LONGEST_RUN
+            length = np.diff(np.append(change, len(at)))
+        self.text, self.anchor, self.at, self.length = owner[change], anchors[change], at[change], length
+        self.start = self.at + a - first[self.text]
+
+    def take(self, some: np.ndarray) -> None:
+        for name in ("text", "anchor", "at", "length", "start"):
+            setattr(self, name, getattr(self, name)[some])
+
+    def kinds(self) -> list[np.ndarray]:
+        """What tells runs apart: all words that their windows cover, and their number."""
+        return [rolling.spans(x, self.at, self.length + self.size - 1) for x in self.lanes]
+
+    def windows(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Hashes of all windows of the runs, the run of each, and its start in its text."""
+        wide = self.length + self.size - 1
+        inner = rolling.ranges(self.at, wide)
+        begin = np.cumsum(wide) - wide
+        own = rolling.ranges(begin, self.length)
+        run = np.repeat(np.arange(len(wide)), self.length)
+        hashes = [rolling.windows(x[inner], self.size)[own] if len(own) else np.zeros(0, np.uint64) for x in self.lanes]
+        return hashes, run, own - begin[run] + self.start[run]
+
+
+def _runs(column: pa.Array, size: int, gram: int) -> Iterator[_Runs]:
+    lanes, counts, _ = rolling.hashed(column)
+    first = np.cumsum(counts) - counts
+    for a in range(0, len(lanes[0]) - size + 1, CHUNK):
+        yield _Runs(lanes, first, counts, a, size, gram)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _head_key(kind: np.ndarray, doc: np.ndarray | int) -> np.ndarray:
-    return rolling.scramble(kind ^ rolling.scramble(np.atleast_1d(np.asarray(doc, np.int64)).view(np.uint64)))
+def _id_key(doc: np.ndarray) -> np.ndarray:
+    return rolling.scramble(np.asarray(doc, np.int64).view(np.uint64))
+
+
+def _head_key(kind: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return rolling.scramble(kind ^ _id_key(doc))
+
+
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("doc_id").to_numpy(zero_copy_only=False)
 
 
 def removed_words(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
@@ -68,11 +105,14 @@ def removed_words(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFr
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [_runs(t.encode(), size, gram) for t in batch.column("text").to_pylist()]
-            keys = [np.unique(r[0]).view(np.int64) for r in found if r is not None]
-            if keys:
-                offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                yield pa.record_batch([pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))], names=["keys"])
+            for runs in _runs(batch.column("text"), size, gram):
+                order = np.lexsort((runs.anchor, runs.text))  # once per text
+                text, keys = runs.text[order], runs.anchor[order]
+                new = np.ones(len(keys), bool)
+                new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
+                keys = keys[new].view(np.int64)
+                if len(keys):
+                    yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pa.array(keys))], names=["keys"])
 
     length = whole.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
     bits = sketch.width_bits(length // BYTES_PER_ANCHOR)
@@ -80,22 +120,13 @@ def removed_words(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFr
     shared = spark.sparkContext.broadcast(repeated)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated = shared.value
         for batch in slices(batches, "text"):
-            rows = [[] for _ in range(7)]
-            for doc, print_, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "print", "text"))):
-                found = _runs(text.encode(), size, gram)
-                if found is None:
-                    continue
-                anchor, start, n, hashes = found
-                some = np.flatnonzero(repeated(anchor))
-                if not len(some):
-                    continue
-                k1, k2 = _kinds(hashes, start[some], n[some], size)
-                for column, values in zip(rows, (anchor[some], k1, k2, np.full(len(some), doc, np.int64), np.full(len(some), print_, np.int64), start[some], n[some])):
-                    column.append(values)
-            if rows[0]:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(c)) for c in rows], names=["anchor", "k1", "k2", "doc_id", "print", "start", "n"])
+            doc, print_ = _ids(batch), batch.column("print").to_numpy()
+            for runs in _runs(batch.column("text"), size, gram):
+                runs.take(np.flatnonzero(shared.value(runs.anchor)))
+                if len(runs.anchor):
+                    k1, k2 = runs.kinds()
+                    yield pa.RecordBatch.from_arrays([_signed(c) for c in (runs.anchor, k1, k2, doc[runs.text], print_[runs.text], runs.start, runs.length)], names=["anchor", "k1", "k2", "doc_id", "print", "start", "n"])
 
     runs = cut(whole.select("doc_id", "print", "text").mapInArrow(candidates, "anchor long, k1 long, k2 long, doc_id long, print long, start long, n long"))
     heads = cut(runs.groupBy("anchor", "k1", "k2").agg(F.min("doc_id").alias("head"), F.count("*").alias("rows")))
@@ -107,32 +138,23 @@ def removed_words(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFr
     def head_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind, head = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "head"))
-            keys = _head_key(kind.view(np.uint64), head).view(np.int64)
+            keys = np.concatenate([_head_key(kind.view(np.uint64), head), np.unique(_id_key(head))]).view(np.int64)
             yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pa.array(keys))], names=["keys"])
 
     of_heads = spark.sparkContext.broadcast(sketch.build(mixed.mapInArrow(head_keys, "keys array<bigint>"), "keys", bits, 2, 1))
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, heads_ = shared.value, of_heads.value
-        for batch in slices(batches, "text"):
-            rows = [[] for _ in range(5)]
-            for doc, print_, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "print", "text"))):
-                found = _runs(text.encode(), size, gram)
-                if found is None:
-                    continue
-                anchor, start, n, hashes = found
-                some = np.flatnonzero(repeated(anchor))
-                if not len(some):
-                    continue
-                some = some[heads_(_head_key(_kinds(hashes, start[some], n[some], size)[0], doc))]
-                if not len(some):
-                    continue
-                at = np.repeat(start[some] - (np.cumsum(n[some]) - n[some]), n[some]) + np.arange(n[some].sum())
-                both = [rolling.between(rolling.sums(h, 2 + lane), at, at + size, 2 + lane) for lane, h in enumerate(hashes)]
-                for column, values in zip(rows, (*both, np.full(len(at), doc, np.int64), np.full(len(at), print_, np.int64), at)):
-                    column.append(values)
-            if rows[0]:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(c)) for c in rows], names=["w1", "w2", "doc_id", "print", "start"])
+        named = (batch.filter(pa.array(of_heads.value(_id_key(_ids(batch))))) for batch in batches)
+        for batch in slices(named, "text"):
+            doc, print_ = _ids(batch), batch.column("print").to_numpy()
+            for runs in _runs(batch.column("text"), size, gram):
+                runs.take(np.flatnonzero(shared.value(runs.anchor)))
+                if len(runs.anchor):
+                    runs.take(np.flatnonzero(of_heads.value(_head_key(runs.kinds()[0], doc[runs.text]))))
+                if len(runs.anchor):
+                    both, run, start = runs.windows()
+                    text = runs.text[run]
+                    yield pa.RecordBatch.from_arrays([_signed(c) for c in (*both, doc[text], print_[text], start)], names=["w1", "w2", "doc_id", "print", "start"])
 
     windows = cut(whole.select("doc_id", "print", "text").mapInArrow(single, "w1 long, w2 long, doc_id long, print long, start long"))
     owners = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("last > owner")
@@ -140,27 +162,39 @@ def removed_words(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFr
     return later.unionByName(alone)
 
 
+def _kept(raw: bytes, gone: np.ndarray | None) -> tuple[bytes, int]:
+    """The words that are not gone, joined by a space, and the number of all."""
+    kept, n = [], 0
+    for piece in pieces(raw):
+        words = piece.split()
+        some = words if gone is None else [words[j] for j in np.flatnonzero(~gone[n : n + len(words)]).tolist()]
+        n += len(words)
+        if some:
+            kept.append(b" ".join(some))
+    return b" ".join(kept), n
+
+
 def _apply(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The texts without what is removed: runs of windows in ``starts`` and ``lengths``, where there are such columns."""
     for batch in slices(batches, "text"):
         kept, n_words, n_removed = [], [], []
-        starts, lengths = batch.column("starts"), batch.column("lengths")
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            raw = (text or "").encode()
-            words = raw.split()
-            n_words.append(len(words))
-            gone = 0
-            if starts[i].is_valid:
-                a = starts[i].values.to_numpy(zero_copy_only=False)
-                b = a + lengths[i].values.to_numpy(zero_copy_only=False) + size - 1
-                marks = np.zeros(len(words) + 1, np.int64)
+        has = "starts" in batch.schema.names
+        for i, raw in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+            raw, gone = raw or b"", None
+            if has and batch.column("starts")[i].is_valid:
+                a = batch.column("starts")[i].values.to_numpy(zero_copy_only=False)
+                b = a + batch.column("lengths")[i].values.to_numpy(zero_copy_only=False) + size - 1
+                marks = np.zeros(int(b.max()) + 1, np.int32)
                 np.add.at(marks, a, 1)
                 np.add.at(marks, b, -1)
-                covered = np.cumsum(marks[:-1]) > 0
-                gone = int(covered.sum())
-                words = [words[j] for j in np.flatnonzero(~covered).tolist()]
-            n_removed.append(gone)
-            kept.append(b" ".join(words).decode())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=["doc_id", "kept_text", "n_words", "n_removed"])
+                gone = np.cumsum(marks) > 0
+                gone = np.concatenate([gone, np.zeros(max(0, len(raw) // 2 + 1 - len(gone)), bool)])
+            text, n = _kept(raw, gone)
+            kept.append(text)
+            n_words.append(n)
+            n_removed.append(0 if gone is None else int(gone.sum()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=["doc_id", "kept_text", "n_words", "n_removed"])
+    release()
 
 
 def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, gram: int = GRAM) -> DataFrame:
@@ -172,8 +206,19 @@ def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     """
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("print"))
     gone = removed_words(given, size, gram).distinct().groupBy("doc_id", "print")
-    gone = gone.agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    gone = settled(gone.agg(F.collect_list(F.struct("start", "n")).alias("runs")))
     gone = gone.select(F.col("doc_id").alias("d"), F.col("print").alias("p"), F.col("runs.start").alias("starts"), F.col("runs.n").alias("lengths"))
-    joined = given.join(gone, (F.col("doc_id") == F.col("d")) & (F.col("print") == F.col("p")), "left").select("doc_id", "text", "starts", "lengths")
-    schema = StructType().add("doc_id", LongType()).add("kept_text", StringType()).add("n_words", LongType()).add("n_removed", LongType())
-    return joined.mapInArrow(lambda batches: _apply(batches, size), schema)
+    losers = sketch.build(gone.select(F.array(F.xxhash64("d")).alias("keys")), "keys", sketch.width_bits(gone.count()), 2, 1)
+    shared = docs.sparkSession.sparkContext.broadcast(losers)
+
+    def chosen(batches: Iterator[pa.RecordBatch], inside: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = shared.value(batch.column("key").to_numpy().view(np.uint64)) == inside
+            if hit.any():
+                yield batch.filter(pa.array(hit)).drop_columns(["key"])
+
+    keyed = given.withColumn("key", F.xxhash64("doc_id"))
+    schema = "doc_id long, kept_text string, n_words long, n_removed long"
+    some = keyed.mapInArrow(partial(chosen, inside=True), given.schema).join(gone, (F.col("doc_id") == F.col("d")) & (F.col("print") == F.col("p")), "left")
+    lost = some.select("doc_id", "text", "starts", "lengths").mapInArrow(lambda batches: _apply(batches, size), schema)
+    return keyed.mapInArrow(lambda batches: _apply(chosen(batches, False), size), schema).unionByName(lost)
