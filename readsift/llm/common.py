@@ -47,9 +47,10 @@ def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 def remove(folder: str) -> None:
-    """Delete a folder of the shared place."""
+    """Delete a folder of the shared place, if there is one."""
     system, path = file_system(folder)
-    system.delete_dir(path)
+    if system.get_file_info(path).type == pyarrow.fs.FileType.Directory:
+        system.delete_dir(path)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -1,7 +1,8 @@
 """Near-duplicate embeddings within a label: HNSW graphs per shard, every shard queried, links verified, components united.
 
-Copies of a vector stand as one representative. The representatives of a label are dealt into shards of bounded size; a
-graph is built per shard and each shard's vectors query every shard of their label. A query's beam is widened while all
+Copies of a vector within a label stand as one node. The nodes of a label are dealt into shards of bounded size; a graph
+is built per shard and written as a file to the shared folder, and each shard's vectors query every shard of their
+label: what is shuffled is the files' names. A query's beam is widened while all
 that it holds lies above the threshold; queries of an audit are compared with all vectors of the shard, more of them
 where links are sparse, and the beams of all are widened until the audit finds no link missing. Links are verified in double precision. A task keeps links as
 bits and sends counts and a spanning forest, so that a dense group sends rows in proportion to its members.
@@ -9,18 +10,23 @@ bits and sends counts and a spanning forest, so that a dense group sends rows in
 
 from __future__ import annotations
 
+import io
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readsift.llm.common import cut, settled
+from readsift.llm.common import cut, file_system, new_folder, release, remove, settled
 from readsift.llm.components import components
 from readsift.llm.hnsw import Graph
 
 THRESHOLD = 0.98
 #: Vectors of a shard, beam to begin with, queries of the audit of a pair of shards, least share of links it must find.
 SHARD, BEAM, AUDIT, RECALL = 8192, 48, 128, 1.0
+#: A label below SHARDS full shards is dealt into so many of at least LEAST vectors, so that it isn't one task.
+SHARDS, LEAST = 6, 1024
 #: True links that an audit must see before it says anything; it takes further queries until then, or until none is left.
 AUDIT_LINKS = 128
 #: How far single precision may stray from the threshold before a candidate is dropped unverified.
@@ -124,43 +130,54 @@ def _forest(found: np.ndarray, left: np.ndarray, right: np.ndarray) -> dict[int,
     return {x: top(x) for x in root}
 
 
-def _build(rows: pa.Table) -> pa.Table:
-    n = rows.num_rows
-    order = np.argsort(rows.column("rep").to_numpy())
-    rows = rows.take(pa.array(order))
-    vectors = _unit(_matrix(rows.column("embedding"), n))
-    first = rows.slice(0, 1)
+def _build(rows: pa.Table, folder: str) -> pa.Table:
+    """The file of a shard: nodes, copies, unit vectors and graph. A task that runs twice leaves two, one of them named."""
+    order = np.argsort(rows.column("node").to_numpy())
+    vectors = _unit(_matrix(rows.column("embedding"), rows.num_rows))[order]
     body = Graph.build(vectors, seed=1).save()
-    return pa.table({
-        "label": first.column("label"), "dim": first.column("dim"), "shard": first.column("shard"),
-        "reps": pa.array([rows.column("rep").to_pylist()], pa.list_(pa.int64())),
-        "copies": pa.array([rows.column("copies").to_pylist()], pa.list_(pa.int64())),
-        "vectors": pa.array([vectors.tobytes()], pa.binary()), "graph": pa.array([body], pa.binary()),
-    })
-
-
-FOUND = pa.schema([("rep", pa.int64()), ("root", pa.int64()), ("n", pa.int64())])
-
-
-def _query(rows: pa.Table) -> pa.Table:
-    """Links between two shards (or within one): per linked representative its least reachable id and its links."""
-    out = []
-    for row in rows.to_batches():
-        for i in range(row.num_rows):
-            get = lambda c: row.column(c)[i].as_py()  # noqa: E731, B023
-            left, right = np.array(get("reps")), np.array(get("others"))
-            copies, others = np.array(get("copies")), np.array(get("other_copies"))
-            a = np.frombuffer(get("vectors"), np.float64).reshape(len(left), -1)
-            graph = Graph.load(get("graph"))
-            graph.exact = np.frombuffer(get("other_vectors"), np.float64).reshape(len(right), -1)
-            same = get("shard") == get("other")
+    name = uuid.uuid4().hex
+    system, path = file_system(folder)
+    system.create_dir(path, recursive=True)
+    with system.open_output_stream(f"{path}/{name}", compression=None) as out:
+        sink = io.BytesIO()
+        np.savez(sink, node=rows.column("node").to_numpy()[order], copies=rows.column("copies").to_numpy()[order], vectors=vectors, graph=np.frombuffer(body, np.uint8))
+        out.write(sink.getvalue())
+    release()
+    first = rows.slice(0, 1)
+    return pa.table([first.column("label"), first.column("dim"), first.column("shard"), pa.array([name])], names=["label", "dim", "shard", "file"])
+
+
+def _load(folder: str, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
+    system, path = file_system(folder)
+    with system.open_input_file(f"{path}/{name}") as file:
+        held = np.load(io.BytesIO(file.read()))
+        graph = Graph.load(held["graph"].tobytes())
+        graph.exact = held["vectors"]
+        return held["node"], held["copies"], held["vectors"], graph
+
+
+FOUND = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64())])
+
+
+def _query(batches, folder: str):
+    """Links between two shards (or within one): per linked node its least reachable node and its links."""
+    for batch in batches:
+        for one, other in zip(batch.column("file").to_pylist(), batch.column("other_file").to_pylist()):
+            left, copies, a, _ = _load(folder, one)
+            right, others, _, graph = _load(folder, other)
+            same = one == other
             found = links(graph, a, same=same)
             root = _forest(found, left, right)
             n = dict(zip(left.tolist(), (found @ others).tolist()))
             if not same:
                 n |= dict(zip(right.tolist(), (found.T @ copies).tolist()))
-            out += [{"rep": x, "root": r, "n": int(n[x])} for x, r in root.items()]
-    return pa.Table.from_pylist(out, schema=FOUND)
+            yield pa.RecordBatch.from_pylist([{"node": x, "root": r, "n": int(n[x])} for x, r in root.items()], schema=FOUND)
+            del found, graph
+    release()
+
+
+#: Pairs of shards that a task works through, at most.
+MOST_TASKS = 100_000
 
 
 def link(vectors: DataFrame, *, vec_id="vec_id", embedding="embedding", label="label") -> DataFrame:
@@ -168,26 +185,34 @@ def link(vectors: DataFrame, *, vec_id="vec_id", embedding="embedding", label="l
 
     Two rows link if their labels are equal and not null, their vectors have one length and a cosine of THRESHOLD or
     more. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do rows with a
-    null vec_id (component null, kept false). Rows that repeat an id and a vector are vectors of their own. Other
-    columns are ignored.
+    null vec_id (component null, kept false). Rows that repeat an id, with equal or other vectors, of one label or of
+    several, are vectors of their own: their links and components are those of their label and vector. Other columns are
+    ignored.
     """
+    spark = vectors.sparkSession
+    folder = new_folder(spark, "shards")
     given = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), F.col(label).alias("label"))
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     usable = given.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & sound)
-    reps = cut(usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")))
-    many = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(SHARD)).alias("shards"))
-    dealt = reps.join(many, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")))
-    kind = reps.schema["label"].dataType.simpleString()
-    schema = f"label {kind}, dim int, shard long, reps array<bigint>, copies array<bigint>, vectors binary, graph binary"
-    shards = cut(dealt.select("label", "dim", "shard", "rep", "copies", "embedding").groupBy("label", "dim", "shard").applyInArrow(lambda rows: _build(rows), schema))
-    other = shards.select("label", "dim", F.col("shard").alias("other"), F.col("reps").alias("others"), F.col("copies").alias("other_copies"), F.col("vectors").alias("other_vectors"), "graph")
-    pairs = shards.drop("graph").join(other, ["label", "dim"]).where("other >= shard")
-    found = settled(pairs.groupBy("label", "dim", "shard", "other").applyInArrow(lambda rows: _query(rows), "rep long, root long, n long"))
-    joined = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    classes = reps.select("rep", "label", "embedding", "copies").join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
-    classes = classes.select("rep", "copies", "n", "component", F.col("label").alias("__label"), F.col("embedding").alias("__embedding"))
-    members = given.join(classes, F.col("vec_id").isNotNull() & (F.col("label") == F.col("__label")) & (F.col("embedding") == F.col("__embedding")), "left")
+    nodes = usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    nodes = cut(nodes.withColumn("dim", F.size("embedding")).withColumn("node", F.monotonically_increasing_id()))
+    many = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    wide = F.greatest(F.ceil(F.col("n") / F.lit(SHARD)), F.least(F.lit(SHARDS), F.ceil(F.col("n") / F.lit(LEAST))))
+    dealt = nodes.join(many.select("label", "dim", wide.alias("shards")), ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")))
+    kind = nodes.schema["label"].dataType.simpleString()
+    dealt = dealt.select("label", "dim", "shard", "node", "copies", "embedding").groupBy("label", "dim", "shard")
+    shards = settled(dealt.applyInArrow(lambda rows: _build(rows, folder), f"label {kind}, dim int, shard long, file string"))
+    other = shards.select("label", "dim", F.col("shard").alias("other"), F.col("file").alias("other_file"))
+    pairs = settled(shards.join(other, ["label", "dim"]).where("other >= shard").select("file", "other_file"))
+    spread = pairs.repartition(max(1, min(pairs.count(), MOST_TASKS)), "file", "other_file")
+    found = settled(spread.mapInArrow(lambda batches: _query(batches, folder), "node long, root long, n long"))
+    remove(folder)
+    joined = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "root")
+    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
+    rooted = nodes.select("node", "least").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    heads = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    classes = nodes.select("node", "copies", F.col("label").alias("label_"), F.col("embedding").alias("embedding_")).join(counts, "node", "left").join(rooted.join(heads, "root").select("node", "component"), "node")
+    members = given.join(classes, F.col("vec_id").isNotNull() & (F.col("label") == F.col("label_")) & (F.col("embedding") == F.col("embedding_")), "left")
     links_ = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("n", F.lit(0))
-    component = F.coalesce("component", "rep", "vec_id")
+    component = F.coalesce("component", "vec_id")
     return members.select("vec_id", links_.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

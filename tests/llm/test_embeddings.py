@@ -51,6 +51,8 @@ def made(seed, n=240, d=8):
 def test_as_brute_force(spark, monkeypatch, shard):
     monkeypatch.setattr(embeddings, "SHARD", shard)
     rows = made(3)
+    rows += [(i, rows[i][1], (rows[i][2] + 1) % 3) for i in range(0, 40, 3)]  # ids that several labels hold
+    rows += [(i, rows[i + 60][1], rows[i + 60][2]) for i in range(1, 40, 3)]  # and ids of other vectors
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("rep", embeddings.F.lit(0)).repartition(3)
     found = [tuple(r) for r in embeddings.link(frame).collect()]
     want = brute(rows)
