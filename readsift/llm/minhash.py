@@ -248,7 +248,7 @@ def _united(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def _merged(edges: DataFrame) -> DataFrame:
     """(component, to) of the components that edges between them unite."""
-    return settled(components(edges).select(F.col("node").alias("component"), F.col("component").alias("to")))
+    return settled(components(settled(edges)).select(F.col("node").alias("component"), F.col("component").alias("to")))
 
 
 def _apart(placed: DataFrame) -> DataFrame:
