@@ -43,6 +43,7 @@ class _Calling(_Settings):
         _need(self.dist in self.dists, f"dist must be one of {', '.join(self.dists)}")
         _need(0 < self.num_reads_to_fit <= MOST_READS_TO_FIT, f"num_reads_to_fit must be 1 to {MOST_READS_TO_FIT}")
         _need(0 <= self.confidence <= 255, "confidence must be 0 to 255")
+        _need(self.training_window is None or self.training_window > 0, "training_window must be positive")
         _need(self.training in ("none", "first_n"), "training must be none or first_n")
         _need(self.emission in ("exact", "distinct"), "emission must be exact or distinct")
         _need(self.probe in ("join", "local", "bloom"), "probe must be join, local or bloom")
@@ -60,6 +61,10 @@ class ClassifySettings(_Calling):
     min_proportion_diff: float = 0.0
     min_hits: int = 0
     training: str = "none"
+    #: Reads that models may be fitted to: those with a read_ord below this; None for all.
+    training_window: int | None = None
+    #: File with the samples of prior kernel densities; None for quantiles of stated moments.
+    kde_prior: str | None = None
     emission: str = "exact"
     probe: str = "join"
     rule: str = field(default="category", init=False)
@@ -81,6 +86,8 @@ class DehostSettings(_Calling):
     conf_prob_threshold: float = 0.0
     min_hits: int = 0
     training: str = "none"
+    training_window: int | None = None
+    kde_prior: str | None = None
     emission: str = "exact"
     probe: str = "join"
     #: Rule for pairs; the binary rule is the intent, "category" the N-way one.

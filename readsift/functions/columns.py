@@ -7,7 +7,7 @@ import re
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Letters a to z and the bases that stand for them in the test encoding of text.
@@ -19,6 +19,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """The rows with a column that is computed once a row, however often later expressions and filters mention it.
+
+    A generator of one row stands between: the optimiser neither merges projections nor pushes filters through it, which
+    would write the value anew for every mention. The outer form infers no filter on the value.
+    """
+    return df.select(*(df[c] for c in df.columns if c != name), F.explode_outer(F.array(value)).alias(name))
+
+
 def split(s: Column, delimiter: str) -> Column:
     """Pieces between the delimiters, empty ones too."""
     return F.split(s, re.escape(delimiter), -1)

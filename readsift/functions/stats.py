@@ -44,6 +44,11 @@ def beta_fit(mean_: Column, variance_: Column) -> tuple[Column, Column]:
     return mean_ * c, (1 - mean_) * c
 
 
+def beta_loc(mean_: Column, alpha: Column, beta: Column) -> Column:
+    """How far the mean of a sample lies from that of a beta distribution."""
+    return mean_ - alpha / (alpha + beta)
+
+
 def bandwidth(x: Column) -> Column:
     """Silverman's rule over rows: 0.9 * min(IQR / 1.34, sd) * n ** -0.2."""
     spread = (F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))) / 1.34
@@ -88,6 +93,31 @@ def beta_quantiles(mean_: float, sd: float, n: int) -> list[float]:
     return np.interp((np.arange(n) + 0.5) / n, cdf / cdf[-1], x).tolist()
 
 
+def _integral(density, at: np.ndarray, low: float, high: float, steps: int = 200_000) -> np.ndarray:
+    """Integral of a density from ``low`` to each place, in steps, as a share of that to ``high``."""
+    grid = np.linspace(low, high, steps + 1)
+    height = density(grid)
+    area = np.concatenate([[0.0], np.cumsum((height[1:] + height[:-1]) / 2)])
+    return np.interp(at, grid, area / area[-1])
+
+
+def gamma_cdf(x: np.ndarray, shape: float, loc: float, scale: float) -> np.ndarray:
+    """Cumulative gamma distribution; the variable is raised to the shape where the density has a pole at 0."""
+    y, most = np.maximum((np.asarray(x, np.float64) - loc) / scale, 0.0), shape + 20 * math.sqrt(shape) + 40
+    y = np.minimum(y, most)
+    if shape >= 1:
+        return _integral(lambda t: np.exp((shape - 1) * np.log(np.maximum(t, 1e-300)) - t - math.lgamma(shape)) if shape > 1 else np.exp(-t), y, 0.0, most)
+    return _integral(lambda u: np.exp(-(u ** (1 / shape))), y**shape, 0.0, most**shape)
+
+
+def beta_cdf(x: np.ndarray, alpha: float, beta: float) -> np.ndarray:
+    """Cumulative beta distribution, over the angle whose sine squared is x, so that no pole is left for parameters of a half
+    and more."""
+    angle = np.arcsin(np.sqrt(np.clip(np.asarray(x, np.float64), 0.0, 1.0)))
+    power = lambda v, p: np.where(v > 0, np.maximum(v, 1e-300) ** p, 1.0 if p == 0 else 0.0)
+    return _integral(lambda t: power(np.sin(t), 2 * alpha - 1) * power(np.cos(t), 2 * beta - 1), angle, 0.0, math.pi / 2)
+
+
 def anderson_darling(sample: np.ndarray, cdf) -> float:
     """The statistic of a sample against a cumulative distribution."""
     x = np.clip(cdf(np.sort(sample)), 1e-12, 1 - 1e-12)

@@ -9,7 +9,8 @@ MOST_CONFIDENCE = 255
 
 
 def _good(s, min_length: int) -> Column:
-    return (F.col("mean_quality") >= s.min_quality) & (F.col("length") >= min_length) & (F.coalesce("compression", F.lit(0.0)) >= s.min_compression)
+    sound = (F.col("mean_quality") >= s.min_quality) & (F.col("length") >= min_length)
+    return sound & (F.coalesce("compression", F.lit(0.0)) >= s.min_compression) if s.min_compression > 0 else sound  # a ratio is never below 0
 
 
 def _named(index: Column, categories: list[str]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readsift.functions.columns import let
+from readsift.functions.columns import let, once
 
 
 def hits_of_bin(patterns: Column, bin_: Column) -> Column:
@@ -42,17 +42,18 @@ def shares(counts: Column, num_hashes: Column) -> Column:
 
 
 def category_scores(hit: DataFrame, category_bins: list[list[int]]) -> DataFrame:
-    """The rows with best_bin, counts, unique_counts, props and unique_props: arrays by category."""
-    out = hit.withColumn("__best", best_bins(F.col("patterns"), category_bins))
-    out = out.withColumn("best_bin", F.col("__best.bin")).withColumn("counts", F.col("__best.hits")).drop("__best")
-    out = out.withColumn("unique_counts", unique_counts(F.col("patterns"), F.col("best_bin")))
-    return out.withColumn("props", shares(F.col("counts"), F.col("num_hashes"))).withColumn("unique_props", shares(F.col("unique_counts"), F.col("num_hashes")))
+    """The rows with best_bin, counts, unique_counts, props and unique_props: arrays by category, computed once."""
+    best = once(hit, "__best", best_bins(F.col("patterns"), category_bins))
+    out = once(best, "__unique", unique_counts(F.col("patterns"), F.col("__best.bin")))
+    each = F.struct(shares(F.col("__best.hits"), F.col("num_hashes")).alias("props"), shares(F.col("__unique"), F.col("num_hashes")).alias("unique_props"))
+    out = once(out, "__shares", each)
+    return out.select(*hit.columns, F.col("__best.bin").alias("best_bin"), F.col("__best.hits").alias("counts"), F.col("__unique").alias("unique_counts"), "__shares.props", "__shares.unique_props")
 
 
 def long_scores(scored: DataFrame) -> DataFrame:
     """One row per read and category."""
     zipped = F.arrays_zip("best_bin", "counts", "unique_counts", "props", "unique_props")
-    each = scored.select("read_ord", "num_hashes", F.posexplode(zipped).alias("category_idx", "z"))
+    each = scored.select("read_ord", "num_hashes", F.posexplode_outer(zipped).alias("category_idx", "z"))
     return each.select("read_ord", "category_idx", "num_hashes", "z.best_bin", F.col("z.counts").alias("count"), F.col("z.unique_counts").alias("unique_count"), F.col("z.props").alias("prop"), F.col("z.unique_props").alias("unique_prop"))
 
 

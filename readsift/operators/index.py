@@ -6,6 +6,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,10 +52,32 @@ class IndexModel:
 
 
 def pieces(refs: DataFrame, window: int, size: int = PIECE) -> DataFrame:
-    """(bin, seq) with long sequences cut into overlapping pieces, whose windows together are those of the whole."""
-    count = F.greatest(F.lit(1), F.ceil((F.length("seq") - (window - 1)) / F.lit(size))).cast("int")
-    long = refs.select("bin", "seq", F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
-    return long.select("bin", F.substr("seq", F.col("i") * size + 1, F.lit(size + window - 1)).alias("seq"))
+    """(bin, seq) with long sequences cut into overlapping pieces, whose windows together are those of the whole; a sequence
+    is gone through once. Sequences are ASCII."""
+
+    def cut(batches):
+        for batch in batches:
+            for bin_, seq in zip(batch.column("bin"), batch.column("seq")):
+                raw = seq.as_buffer() if seq.is_valid else b""
+                for a in range(0, max(1, len(raw) - (window - 1)), size):  # one batch a piece: the sequence itself is held once
+                    piece = bytes(raw[a : a + size + window - 1]).decode()
+                    if len(raw) <= size:
+                        held.append((bin_.as_py(), piece))
+                    else:
+                        yield pa.record_batch([pa.array([bin_.as_py()], pa.int32()), pa.array([piece], pa.string())], names=["bin", "seq"])
+                if len(held) >= 1024:
+                    yield small()
+            if held:
+                yield small()
+
+    held: list[tuple[int, str]] = []
+
+    def small():
+        out = pa.record_batch([pa.array([b for b, _ in held], pa.int32()), pa.array([s for _, s in held], pa.string())], names=["bin", "seq"])
+        held.clear()
+        return out
+
+    return refs.select(F.col("bin").cast("int").alias("bin"), "seq").mapInArrow(cut, "bin int, seq string")
 
 
 def distinct_hashes(refs: DataFrame, settings: IndexSettings) -> DataFrame:

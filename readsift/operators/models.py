@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readsift.functions import stats
+from readsift.functions.columns import once
 
 #: Prior parameters. Gamma: shape, loc, scale; beta: alpha, beta; KDE: mean, sd and size of the sample
 #: that stands in for a fitted one, and the bandwidth.
@@ -40,25 +42,57 @@ class Side:
 Model = dict[str, Side]
 
 
-def prior(dist: str) -> Model:
+def prior(dist: str, kde: str | None = None) -> Model:
+    """The model before any sample; ``kde`` is a file with samples for kernel densities (see ``read_prior``)."""
     if dist == "gamma":
         return {s: Side(dist, GAMMA[s]) for s in ("pos", "neg")}
     if dist == "beta":
         return {s: Side(dist, BETA[s]) for s in ("pos", "neg")}
-    return {s: Side(dist, (), stats.beta_quantiles(*KDE[s][:3]), KDE[s][3]) for s in ("pos", "neg")}
+    held = read_prior(kde) if kde else {s: stats.beta_quantiles(*KDE[s][:3]) for s in ("pos", "neg")}
+    return {s: Side(dist, (), held[s], KDE[s][3]) for s in ("pos", "neg")}
+
+
+#: Values of a prior sample at most.
+MOST_PRIOR = 100_000
+
+
+def read_prior(path: str) -> dict[str, list[float]]:
+    """The samples of a prior kernel density from a text file: lines of pos or neg and a value, separated by white space."""
+    held: dict[str, list[float]] = {"pos": [], "neg": []}
+    with open(path) as lines:
+        for line in lines:
+            if fields := line.split():
+                if len(fields) != 2 or fields[0] not in held:
+                    raise ValueError(f"not a side and a value: {line.strip()}")
+                held[fields[0]].append(float(fields[1]))
+                if len(held[fields[0]]) > MOST_PRIOR:
+                    raise ValueError(f"a prior sample has at most {MOST_PRIOR} values")
+    if not all(held.values()):
+        raise ValueError("a prior needs values of both sides")
+    return held
 
 
 def moments(sample: DataFrame) -> DataFrame:
-    """n, mean, mean logarithm, variance of each category and side."""
-    log = F.avg(F.when(F.col("value") > 0, F.ln("value")))
-    return sample.groupBy("category_idx", "side").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), log.alias("mean_log"), F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("variance"))
+    """n, mean and variance of each category and side, and the mean and mean logarithm of the values above 0."""
+    above = F.when(F.col("value") > 0, F.col("value"))
+    return sample.groupBy("category_idx", "side").agg(
+        F.count("*").alias("n"), F.avg("value").alias("mean"), F.avg(above).alias("mean_above"), F.avg(F.ln(above)).alias("mean_log"), F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("variance")
+    )
+
+
+def sample_density(at: DataFrame, sample: DataFrame, h: float) -> DataFrame:
+    """Rows (key, x) with the kernel density of the values of their key in ``sample`` (key, value): an equi-join on the key
+    and partial sums, so the sample may be of any size; null values do not count."""
+    near = at.join(sample.where("value is not null"), "key")
+    kernel = F.exp(-0.5 * F.pow((F.col("x") - F.col("value")) / h, F.lit(2.0))) / (h * math.sqrt(2 * math.pi))
+    return near.groupBy("key", "x").agg(F.avg(kernel).alias("density"))
 
 
-def fit(sample: DataFrame, categories: int, dist: str, n: int) -> list[Model]:
+def fit(sample: DataFrame, categories: int, dist: str, n: int, kde: str | None = None) -> list[Model]:
     """A model per category. A side with n samples is fitted, else its prior stays; the negative gamma side then takes
     its loc from what samples there are. What comes to the driver is one row per side, and for kernel densities n values."""
-    models = [prior(dist) for _ in range(categories)]
-    shape, scale = stats.gamma_fit(F.col("mean"), F.col("mean_log"))
+    models = [prior(dist, kde) for _ in range(categories)]
+    shape, scale = stats.gamma_fit(F.col("mean_above"), F.col("mean_log"))
     alpha, beta = stats.beta_fit(F.col("mean"), F.col("variance"))
     rows = {(r["category_idx"], r["side"]): r for r in moments(sample).select("*", shape.alias("shape"), scale.alias("scale"), alpha.alias("alpha"), beta.alias("beta")).collect()}
     if dist == "kde":
@@ -90,7 +124,7 @@ def probabilities(scored: DataFrame, models: list[Model]) -> DataFrame:
         scored = scored.withColumn("__pos", positive).withColumn("__neg", model["neg"].density(F.col("__x")))
         total = stats.error_density(F.col("__x")) + F.col("__pos") + F.col("__neg")
         scored = scored.withColumn(name, F.when(F.col("num_hashes") > 0, F.col("__pos") / total).otherwise(0.0)).drop("__x", "__pos", "__neg")
-    return scored.withColumn("probabilities", F.array(*names)).drop(*names)
+    return once(scored, "probabilities", F.array(*names)).drop(*names)
 
 
 def parameters(models: list[Model]) -> list[tuple]:

@@ -6,9 +6,11 @@ that hit exactly these bins. A read has few patterns, so all that follows is ari
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readsift.operators.index import IndexModel
@@ -35,25 +37,71 @@ def by_join(reads: DataFrame, index: IndexModel) -> DataFrame:
     return _gather(probe_rows(reads.select("read_ord", F.explode("minimisers").alias("h")), index))
 
 
-def by_filter(reads: DataFrame, index: IndexModel) -> DataFrame:
-    """The probe with filters in place of exact sets: a hash seems to be in a bin if all its places are set.
+#: Bits of a block of a filter: a hash chooses a block, and all its places lie there, so that one look answers.
+BLOCK_BITS = 1 << 13
+
+
+def filter_blocks(index: IndexModel) -> DataFrame:
+    """block, bins, bits: the filters of all bins, block by block; a row holds BLOCK_BITS bits for every bin with a hash there.
 
-    Every bin has places for the largest bin at ``max_fpr``, so that a smaller bin errs less; no hit is lost.
+    Every bin has places for the largest bin at ``max_fpr``, so that a smaller bin errs less; no hit is lost. This table
+    can be stored and probed instead of the hashes.
     """
+    s, n = index.settings, _blocks(index)
+
+    def build(rows: pa.Table) -> pa.Table:
+        bin_, h = rows.column("bin").to_numpy(), rows.column("h").to_numpy()
+        names, row = np.unique(bin_, return_inverse=True)
+        bits = np.zeros((len(names), BLOCK_BITS), np.uint8)
+        for i in range(s.num_hash):
+            bits[row, _place(h, i)] = 1
+        packed = np.packbits(bits, axis=1).tobytes()
+        return pa.table([rows.column("block").slice(0, 1), pa.array([names.tolist()], pa.list_(pa.int32())), pa.array([packed], pa.binary())], names=["block", "bins", "bits"])
+
+    keyed = index.hashes.select(_block(n).alias("block"), "bin", "h")
+    return keyed.groupBy("block").applyInArrow(lambda rows: build(rows), "block long, bins array<int>, bits binary")
+
+
+def _blocks(index: IndexModel) -> int:
     s = index.settings
     most = index.bin_stats.agg(F.max("n_hashes")).collect()[0][0] or 1
-    import math
-
     bits = max(1, min(s.bits, math.ceil(-(most * s.num_hash) / math.log(1 - math.exp(math.log(s.max_fpr) / s.num_hash)))))
-    place = lambda h, i: F.pmod(F.xxhash64(h, F.lit(i)), F.lit(bits))
-    spots = lambda h: F.explode(F.array(*(F.struct(F.lit(i).alias("i"), place(h, i).alias("spot")) for i in range(s.num_hash))))
-    set_ = index.hashes.select("bin", spots(F.col("h")).alias("s")).select("s.i", "s.spot", "bin").distinct()
-    held = set_.groupBy("i", "spot").agg(F.array_sort(F.collect_set("bin")).alias("held"))
-    wanted = reads.select(F.explode("minimisers").alias("h")).distinct()
-    found = wanted.select("h", spots(F.col("h")).alias("s")).select("h", "s.i", "s.spot").join(held, ["i", "spot"])
-    every = found.groupBy("h").agg(F.collect_list("held").alias("lists")).where(F.size("lists") == s.num_hash)
-    bins = F.aggregate("lists", F.get("lists", F.lit(0)), lambda a, x: F.array_intersect(a, x))
-    by_hash = every.select("h", F.array_sort(bins).alias("bins")).where(F.size("bins") > 0)
+    return -(-bits // BLOCK_BITS)
+
+
+def _block(n: int) -> Column:
+    return F.pmod(F.xxhash64("h"), F.lit(n))
+
+
+def _place(h: np.ndarray, i: int) -> np.ndarray:
+    """The place of each hash in its block, the i-th of them."""
+    x = h.view(np.uint64) + np.array([i + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return (x >> np.uint64(64 - 13)).astype(np.int64)
+
+
+def by_filter(reads: DataFrame, index: IndexModel) -> DataFrame:
+    """The probe with filters in place of exact sets: a hash seems to be in a bin if all its places are set. Each distinct
+    hash of the reads meets its block once."""
+    num_hash, n = index.settings.num_hash, _blocks(index)
+
+    def test(left: pa.Table, right: pa.Table) -> pa.Table:
+        h = left.column("h").to_numpy()
+        bins = np.array(right.column("bins")[0].as_py() if right.num_rows else [], np.int32)
+        found = np.zeros((len(bins), len(h)), bool)
+        if len(bins):
+            bits = np.frombuffer(right.column("bits")[0].as_py(), np.uint8).reshape(len(bins), -1)
+            found[:] = True
+            for i in range(num_hash):
+                at = _place(h, i)
+                found &= (bits[:, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+        some = np.flatnonzero(found.any(0))
+        row, column = np.nonzero(found[:, some].T)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(some)))]).astype(np.int32)
+        return pa.table([pa.array(h[some]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bins[column], pa.int32()))], names=["h", "bins"])
+
+    wanted = reads.select(F.explode("minimisers").alias("h")).distinct().select(_block(n).alias("block"), "h")
+    by_hash = wanted.groupBy("block").cogroup(filter_blocks(index).groupBy("block")).applyInArrow(lambda left, right: test(left, right), "h long, bins array<int>")
     return _gather(reads.select("read_ord", F.explode("minimisers").alias("h")).join(by_hash, "h", "left"))
 
 
@@ -63,10 +111,9 @@ def by_broadcast(reads: DataFrame, index: IndexModel) -> DataFrame:
     Only for an index of at most MOST_LOCAL hashes; a larger one is an error, and ``by_join`` the way. Stateless, so it
     also serves streams.
     """
-    table = index.by_hash()
-    if index.hashes.count() > MOST_LOCAL:
+    rows = index.by_hash().limit(MOST_LOCAL + 1).toArrow()  # the index is computed once, and no more than the bound arrives
+    if rows.num_rows > MOST_LOCAL:
         raise ValueError(f"an index of more than {MOST_LOCAL} hashes is not broadcast; use the join")
-    rows = table.toArrow()
     h = rows.column("h").to_numpy()
     order = np.argsort(h)
     lists = rows.column("bins").to_pylist()

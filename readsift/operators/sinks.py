@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,9 +15,20 @@ def assignments(called: DataFrame, categories: list[str]) -> DataFrame:
     return called.select("read_ord", status.alias("status"), F.col("id").alias("read_id"), "call", "length", "num_hashes", "mean_quality", "confidence", "compression", details.alias("details"))
 
 
+def short(x: Column) -> Column:
+    """A number with six significant digits at most: no trailing zeros, an exponent below -4 and from 6 on."""
+    finite = F.when(F.abs(x) < float("inf"), x).otherwise(0.0)
+    parts = F.split(F.format_string("%.5e", finite), "e")
+    power = parts[1].cast("int")
+    bare = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    places = F.concat(F.lit("%."), (5 - power).cast("string"), F.lit("f"))
+    plain = bare(F.call_function("format_string", places, finite))
+    said = F.when((power < -4) | (power >= 6), F.concat(bare(parts[0]), F.lit("e"), parts[1])).otherwise(plain)
+    return F.when(x.isNull(), None).when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(said)
+
+
 def assignment_text(rows: DataFrame) -> DataFrame:
     """The rows as lines of tab-separated text, numbers with six significant digits."""
-    short = lambda c: F.format_string("%.6g", c)
     said = F.transform("details", lambda d: F.concat(F.concat_ws(":", d["category"], d["count"], short(d["prop"]), short(d["unique_prop"]), short(d["probability"])), F.lit(" ")))
     line = F.concat_ws("\t", "status", "read_id", F.coalesce("call", F.lit("")), "length", "num_hashes", short(F.col("mean_quality")), "confidence", short(F.coalesce("compression", F.lit(0.0))), F.array_join(said, ""))
     return rows.select(line.alias("value"))

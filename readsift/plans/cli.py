@@ -48,12 +48,15 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--confidence", type=int, default=settings.confidence)
         c.add_argument("--min_proportion_diff", type=float, default=settings.min_proportion_diff)
         c.add_argument("--training", choices=("none", "first_n"), help="first_n where reads are extracted, else none, if not given")
+        c.add_argument("--training_window", type=int, help="fit models to the reads before this one")
+        c.add_argument("--kde_prior", help="file with lines of pos or neg and a value: samples of the prior kernel densities")
         c.add_argument("--probe", choices=("join", "local", "bloom"), default="join")
         if name == "dehost":
             c.add_argument("--host_unique_prop_lo_threshold", type=float, default=settings.host_unique_prop_lo_threshold)
             c.add_argument("--min_probability_diff", type=float, default=settings.min_probability_diff)
     for c in commands.choices.values():
         c.add_argument("--log", default="readsift.log")
+        c.add_argument("--temp", "--chunk_size", help="accepted and not needed: partitions and shuffles take their place")
         c.add_argument("-v", "--verbose", action="count", default=0)
         c.add_argument("-t", "--threads", type=int, default=1, help="cores, where no cluster is configured")
     return top

@@ -63,9 +63,10 @@ def score(reads: DataFrame, index_: IndexModel, settings) -> DataFrame:
 def fitted(scored: DataFrame, categories: int, settings) -> list[models.Model]:
     """Priors, or models fitted to the first reads that speak for or against each category."""
     if settings.training == "none":
-        return [models.prior(settings.dist) for _ in range(categories)]
-    sample = training.first_n(training.candidates(scored, settings.lo_hi_threshold), settings.num_reads_to_fit)
-    return models.fit(sample, categories, settings.dist, settings.num_reads_to_fit)
+        return [models.prior(settings.dist, settings.kde_prior) for _ in range(categories)]
+    seen = scored.where(F.col("read_ord") < settings.training_window) if settings.training_window else scored
+    sample = training.first_n(training.candidates(seen, settings.lo_hi_threshold), settings.num_reads_to_fit)
+    return models.fit(sample, categories, settings.dist, settings.num_reads_to_fit, settings.kde_prior)
 
 
 def call(reads: DataFrame, index_: IndexModel, settings: ClassifySettings | DehostSettings) -> DataFrame:
@@ -78,7 +79,9 @@ def call(reads: DataFrame, index_: IndexModel, settings: ClassifySettings | Deho
         raise ValueError("the rule of host against other needs exactly two categories")
     scored = score(reads, index_, settings)
     if settings.training != "none":
-        scored = scored.persist()
+        from pyspark import StorageLevel
+
+        scored = scored.persist(StorageLevel.DISK_ONLY)  # read twice: for the models and for the calls; freed with the plan
     likely = models.probabilities(scored, fitted(scored, len(categories), settings))
     least = settings.min_length if settings.min_length is not None else MIN_LENGTH_PAIRED if paired else MIN_LENGTH
     if rule == "host":

@@ -15,7 +15,7 @@ from readsift.functions import columns as C
 from readsift.functions import stats
 from readsift.operators import calling, counts, models, probe, sinks, training
 from readsift.operators import index as ix
-from readsift.operators.minimiser import minimisers, minimisers_by_windows
+from readsift.operators.minimiser import minimisers, minimisers_by_windows, paired_minimisers
 from readsift.plans import pipeline
 
 SETTINGS = IndexSettings()
@@ -159,11 +159,13 @@ def training_first_n(spark, sf_dir):
 
 
 def _events(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "events").where("value > 0 and value < 1000").select(F.col("event_type").alias("category_idx"), F.lit("pos").alias("side"), (F.col("value") / 1000).alias("value"))
+    """All events; the values, which are 0 and more, come to lie between 0 and 1."""
+    share = (F.col("value") + 1) / (F.col("value") + 1000)
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("category_idx"), F.lit("pos").alias("side"), share.alias("value"))
 
 
 def gamma_fit(spark, sf_dir):
-    shape, scale = stats.gamma_fit(F.col("mean"), F.col("mean_log"))
+    shape, scale = stats.gamma_fit(F.col("mean_above"), F.col("mean_log"))
     return models.moments(_events(spark, sf_dir)).select(F.col("category_idx").alias("event_type"), "n", _r("mean"), _r(shape, "shape"), _r(scale, "scale"))
 
 
@@ -177,17 +179,16 @@ def kde_bandwidth(spark, sf_dir):
 
 
 def kde_density(spark, sf_dir):
-    """Density of the account balances of suppliers, at the balance of each nation's customers on average."""
-    values = [r[0] for r in table(spark, sf_dir, "supplier").where("s_acctbal is not null").select(F.col("s_acctbal") / 10000).collect()]
-    side = models.Side("kde", (), values, 0.1)
-    at = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal") / 10000, 6).alias("x"))
-    return at.select("c_nationkey", "x", _r(side.density(F.col("x")), "density"))
+    """Density of the account balances of each nation's suppliers, at the balance of its customers on average."""
+    values = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"), (F.col("s_acctbal") / 10000).alias("value"))
+    at = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("key")).agg(F.round(F.avg("c_acctbal") / 10000, 6).alias("x"))
+    return models.sample_density(at, values, 0.1).select(F.col("key").alias("c_nationkey"), "x", _r("density"))
 
 
 def _scores(dist):
     def query(spark, sf_dir):
         rows = likely(spark, sf_dir, dist=dist)
-        return rows.select("read_ord", F.posexplode("probabilities").alias("category_idx", "p")).select("read_ord", "category_idx", _r("p", "probability"))
+        return rows.select("read_ord", F.posexplode_outer("probabilities").alias("category_idx", "p")).select("read_ord", "category_idx", _r("p", "probability"))
 
     return query
 
@@ -196,8 +197,7 @@ def _scores(dist):
 
 
 def _called(spark, sf_dir):
-    names = sorted(set(BINARY))
-    return calling.call_host(likely(spark, sf_dir), names, names.index("human"), DEHOST)
+    return calling.call_host(likely(spark, sf_dir), sorted(set(BINARY)), index(spark, sf_dir).host_index(), DEHOST)
 
 
 def call_host(spark, sf_dir):
@@ -215,7 +215,7 @@ def result_rollup(spark, sf_dir):
 
 def assignment_rows(spark, sf_dir):
     rows = sinks.assignments(_called(spark, sf_dir), sorted(set(BINARY)))
-    each = rows.select("status", "read_id", "call", "length", "num_hashes", "mean_quality", "confidence", F.explode("details").alias("d"))
+    each = rows.select("status", "read_id", "call", "length", "num_hashes", "mean_quality", "confidence", F.explode_outer("details").alias("d"))
     return each.select("status", "read_id", "call", "length", "num_hashes", "mean_quality", "confidence", "d.category", "d.count", _r(F.col("d.prop"), "prop"), _r(F.col("d.unique_prop"), "unique_prop"), _r(F.col("d.probability"), "probability"))
 
 
@@ -223,6 +223,51 @@ def assignment_text(spark, sf_dir):
     return sinks.assignment_text(sinks.assignments(_called(spark, sf_dir), sorted(set(BINARY))))
 
 
+def minimisers_of_items(spark, sf_dir):
+    """Every emission of the benchmark's items, with its place."""
+    items = table(spark, sf_dir, "benchmark").where("text is not null")
+    return items.select("item_id", F.posexplode(minimisers(C.text_as_bases(F.col("text")))).alias("place", "h"))
+
+
+def filter_contains_hits(spark, sf_dir):
+    """The exact hits per bin, and whether the filter has them all."""
+    exact = hits_per_bin(spark, sf_dir)
+    rough = counts.hits_per_bin(scored(spark, sf_dir, how="bloom")).select("read_ord", "bin", F.col("hits").alias("rough"))
+    return exact.join(rough, ["read_ord", "bin"], "left").select("read_ord", "bin", "hits", (F.coalesce("rough", F.lit(0)) >= F.col("hits")).alias("contained"))
+
+
+def _trained(dist):
+    """Scores by models that are fitted to the first reads where there are enough of them."""
+
+    def query(spark, sf_dir):
+        settings = DehostSettings(dist=dist, emission="distinct", training="first_n", num_reads_to_fit=TO_FIT)
+        rows = pipeline.score(reads(spark, sf_dir), index(spark, sf_dir), settings)
+        rows = models.probabilities(rows, pipeline.fitted(rows, len(set(BINARY)), settings))
+        return rows.select("read_ord", F.posexplode_outer("probabilities").alias("category_idx", "p")).select("read_ord", "category_idx", F.round("p", 5).alias("probability"))
+
+    return query
+
+
+def read_quality(spark, sf_dir):
+    """Mean quality of reads whose quality string is the visible ASCII of a document, alone and with that of its mate."""
+    qual = F.regexp_replace(F.coalesce("text", F.lit("")), "[^!-~]", "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", qual.alias("q"), F.reverse(F.substring(qual, 1, 100)).alias("r"))
+    return docs.select("doc_id", _r(C.mean_quality(F.col("q")), "single"), _r(C.mean_quality(F.col("q"), F.col("r")), "paired"))
+
+
+def normalised_bases(spark, sf_dir):
+    """The letters of a document as bases: upper case, U as T, all but A, C, G and T as N."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", C.normalise(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")).alias("s"))
+    return docs.select("doc_id", C.length(F.col("s")).alias("length"), F.md5("s").alias("digest"))
+
+
+def paired_hashes(spark, sf_dir):
+    """Hashes of the first turns of users and assistants as mates: no window spans the two."""
+    one, two = _mates(spark, sf_dir)
+    both = one.select("read_ord", F.col("seq").alias("a")).join(two.select("read_ord", F.col("seq").alias("b")), "read_ord", "full_outer")
+    return both.select("read_ord", F.size(paired_minimisers(F.col("a"), F.col("b"), emission="distinct")).alias("n"), C.length(F.col("a"), F.col("b")).alias("length"))
+
+
 def extract_human(spark, sf_dir):
     return sinks.extract(_called(spark, sf_dir), reads(spark, sf_dir), "human").select("read_ord", "id", F.length("seq").alias("n"))
 
@@ -242,22 +287,26 @@ def compression_ratio(spark, sf_dir):
 
 
 def pair_join(spark, sf_dir):
-    """First turns of users and assistants as mates of their conversation."""
+    """First turns of users and assistants as mates, of the conversations that have both."""
     from readsift.sources.sequences import pair
 
-    talk = table(spark, sf_dir, "conversations").where("text is not null")
-    mate = lambda role, n: talk.where(F.col("role") == role).groupBy("conv_id").agg(F.min_by("text", "turn").alias("t")).select(F.col("conv_id").alias("read_ord"), F.concat("conv_id", F.lit(f"/{n}")).alias("id"), C.text_as_bases(F.col("t")).alias("seq"), F.lit(None).cast("string").alias("qual"))
-    a, b = mate("user", 1), mate("assistant", 2)
+    a, b = _mates(spark, sf_dir)
     joined = pair(a.join(b, "read_ord", "left_semi"), b.join(a, "read_ord", "left_semi"))
     return joined.select("read_ord", "id", F.length("seq1").alias("n1"), F.length("seq2").alias("n2"))
 
 
+def _mates(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    talk = table(spark, sf_dir, "conversations").where("text is not null")
+    mate = lambda role, n: talk.where(F.col("role") == role).groupBy("conv_id").agg(F.min_by("text", "turn").alias("t")).select(F.col("conv_id").alias("read_ord"), F.concat("conv_id", F.lit(f"/{n}")).alias("id"), C.text_as_bases(F.col("t")).alias("seq"), F.lit(None).cast("string").alias("qual"))
+    return mate("user", 1), mate("assistant", 2)
+
+
 QUERIES = {
     q.__name__: q
     for q in (
-        minimisers_distinct, minimisers_emitted, kmer_window_min, bin_stats, bins_by_size, max_bin, bloom_sizing, bloom_capacity, optimize_layout,
-        membership_probe, hits_per_bin, hits_per_bin_local, hits_per_bin_filter, category_scores, category_scores_by_language,
+        minimisers_distinct, minimisers_emitted, minimisers_of_items, kmer_window_min, bin_stats, bins_by_size, max_bin, bloom_sizing, bloom_capacity, optimize_layout,
+        membership_probe, hits_per_bin, hits_per_bin_local, hits_per_bin_filter, filter_contains_hits, category_scores, category_scores_by_language,
         training_candidates, training_first_n, gamma_fit, beta_fit, kde_bandwidth, kde_density,
-        call_host, call_category, result_rollup, assignment_rows, assignment_text, extract_human, dehost_trained, read_features, compression_ratio, pair_join,
+        call_host, call_category, result_rollup, assignment_rows, assignment_text, extract_human, dehost_trained, read_features, read_quality, normalised_bases, compression_ratio, pair_join, paired_hashes,
     )
-} | {f"{d}_score": _scores(d) for d in ("gamma", "beta", "kde")}
+} | {f"trained_{d}": _trained(d) for d in ("gamma", "beta")} | {f"{d}_score": _scores(d) for d in ("gamma", "beta", "kde")}

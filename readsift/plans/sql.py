@@ -90,6 +90,8 @@ cand AS (
 
 
 def _density(dist: str, side: str, x: str) -> str:
+    if dist == "kde":
+        return _kernel_density(side, x)
     if dist == "gamma":
         shape, loc, scale = models.GAMMA[side]
         return f"CASE WHEN {x} - {loc} > 0 THEN exp(({shape} - 1) * ln({x} - {loc}) - ({x} - {loc}) / {scale} - {math.lgamma(shape) + shape * math.log(scale)!r}) ELSE 0.0 END"
@@ -98,6 +100,38 @@ def _density(dist: str, side: str, x: str) -> str:
     return f"CASE WHEN {x} > 0 AND {x} < 1 THEN exp({c!r} + ({a} - 1) * ln({x}) + ({b} - 1) * ln(1 - {x})) ELSE 0.0 END"
 
 
+def _kernel_density(side: str, x: str) -> str:
+    held = models.prior("kde")[side]
+    values = ", ".join(map(repr, held.sample))
+    return f"(list_sum(list_transform([{values}], lambda v: exp(-0.5 * pow(({x} - v) / {held.h}, 2)))) / {math.sqrt(2 * math.pi) * held.h * len(held.sample)!r})"
+
+
+def _trained(dist: str) -> str:
+    """CTEs up to pr by models fitted to the first reads of each category and side, where there are TO_FIT of them."""
+    sides = ", ".join(f"({c}, '{s}')" for c in range(len(set(BINARY))) for s in ("pos", "neg"))
+    if dist == "beta":
+        given = " ".join(f"WHEN '{s}' THEN {{{i}}}" for i, s in enumerate(("pos", "neg")))
+        pick = lambda k: f"CASE side {given.format(models.BETA['pos'][k], models.BETA['neg'][k])} END"
+        fitted = f"""CASE WHEN n >= {TO_FIT} AND c IS NOT NULL THEN mean * c ELSE {pick(0)} END AS p1, CASE WHEN n >= {TO_FIT} AND c IS NOT NULL THEN (1 - mean) * c ELSE {pick(1)} END AS p2, 0.0 AS loc
+  FROM (SELECT *, CASE WHEN variance > 0 AND variance < mean * (1 - mean) THEN mean * (1 - mean) / variance - 1 END AS c FROM mo)"""
+        density = "CASE WHEN x > 0 AND x < 1 THEN exp(lgamma(p1 + p2) - lgamma(p1) - lgamma(p2) + (p1 - 1) * ln(x) + (p2 - 1) * ln(1 - x)) ELSE 0.0 END"
+    else:
+        given = " ".join(f"WHEN '{s}' THEN {{{i}}}" for i, s in enumerate(("pos", "neg")))
+        pick = lambda k: f"CASE side {given.format(models.GAMMA['pos'][k], models.GAMMA['neg'][k])} END"
+        fitted = f"""CASE WHEN n >= {TO_FIT} AND s > 0 THEN shape ELSE {pick(0)} END AS p1, CASE WHEN n >= {TO_FIT} AND s > 0 THEN mean / shape ELSE {pick(2)} END AS p2,
+         CASE WHEN side = 'neg' AND n < {TO_FIT} THEN COALESCE(mean, 0) - {models.GAMMA['neg'][0]} * {models.GAMMA['neg'][2]} ELSE 0.0 END AS loc
+  FROM (SELECT *, (3 - s + sqrt((s - 3) * (s - 3) + 24 * s)) / (12 * s) AS shape FROM (SELECT *, ln(mean) - mean_log AS s FROM mo))"""
+        density = "CASE WHEN x - loc > 0 THEN exp((p1 - 1) * ln(x - loc) - (x - loc) / p2 - lgamma(p1) - p1 * ln(p2)) ELSE 0.0 END"
+    return f"""{_CANDIDATES},
+few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category_idx, side ORDER BY read_ord) AS place FROM cand) WHERE place <= {TO_FIT}),
+sides(category_idx, side) AS (VALUES {sides}),
+mo AS (SELECT category_idx, side, count(value) AS n, avg(value) AS mean, avg(ln(value)) AS mean_log, COALESCE(var_samp(value), 0) AS variance FROM sides LEFT JOIN few USING (category_idx, side) GROUP BY ALL),
+ft AS (SELECT category_idx, side, {fitted}),
+de AS (SELECT read_ord, category_idx, side, num_hashes, x, {density} AS d FROM (SELECT read_ord, category_idx, num_hashes, CASE WHEN num_hashes > 0 THEN unique_prop ELSE 0.0 END AS x FROM sc) JOIN ft USING (category_idx)),
+bo AS (SELECT read_ord, category_idx, any_value(num_hashes) AS num_hashes, any_value(x) AS x, max(CASE WHEN side = 'pos' THEN CASE WHEN x = 1 THEN 1.0 ELSE d END END) AS p, max(CASE WHEN side = 'neg' THEN d END) AS n FROM de GROUP BY read_ord, category_idx)
+SELECT read_ord, category_idx, round(CASE WHEN num_hashes > 0 THEN p / (300 * exp(-300 * x) + p + n) ELSE 0.0 END, 5) AS probability FROM bo"""
+
+
 def _likely(dist: str) -> str:
     positive = f"CASE WHEN unique_prop = 1 THEN 1.0 ELSE {_density(dist, 'pos', 'unique_prop')} END"
     return f""",
@@ -123,7 +157,7 @@ called AS (
   FROM rd JOIN pairs USING (read_ord)
 )"""
 _NAMES = ", ".join(f"'{c}'" for c in sorted(set(BY_LANGUAGE)))
-_EVENTS = "WITH e AS (SELECT event_type, value / 1000 AS value FROM events WHERE value > 0 AND value < 1000), t AS (SELECT event_type, count(*) AS n, avg(value) AS mean, avg(ln(value)) AS mean_log, var_samp(value) AS variance FROM e GROUP BY event_type)"
+_EVENTS = "WITH e AS (SELECT event_type, (value + 1) / (value + 1000) AS value FROM events), t AS (SELECT event_type, count(*) AS n, avg(value) AS mean, avg(ln(value)) AS mean_log, var_samp(value) AS variance FROM e GROUP BY event_type)"
 _BITS = f"CAST(least({S.bits}, ceil(-(n_hashes * {S.num_hash}) / {math.log(1 - math.exp(math.log(S.max_fpr) / S.num_hash))!r})) AS BIGINT)"
 _SMALL = stats.capacity(12_000, S.max_fpr, S.num_hash)
 
@@ -145,8 +179,48 @@ ORACLES = {
     "gamma_fit": f"{_EVENTS}, s AS (SELECT *, ln(mean) - mean_log AS s FROM t), g AS (SELECT *, (3 - s + sqrt((s - 3) * (s - 3) + 24 * s)) / (12 * s) AS shape FROM s) SELECT event_type, n, round(mean, 6) AS mean, round(shape, 6) AS shape, round(mean / shape, 6) AS scale FROM g",
     "beta_fit": f"{_EVENTS}, c AS (SELECT *, CASE WHEN variance > 0 AND variance < mean * (1 - mean) THEN mean * (1 - mean) / variance - 1 END AS c FROM t) SELECT event_type, n, round(variance, 6) AS variance, round(mean * c, 6) AS alpha, round((1 - mean) * c, 6) AS beta FROM c",
     "kde_bandwidth": f"{_EVENTS} SELECT event_type, round(0.9 * least((quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34, stddev_samp(value)) * pow(count(*), -0.2), 6) AS h FROM e GROUP BY event_type",
-    "kde_density": "WITH s AS (SELECT s_acctbal / 10000 AS v FROM supplier WHERE s_acctbal IS NOT NULL), a AS (SELECT c_nationkey, round(avg(c_acctbal) / 10000, 6) AS x FROM customer GROUP BY c_nationkey) SELECT c_nationkey, x, round(sum(exp(-0.5 * ((x - v) / 0.1) * ((x - v) / 0.1))) / (sqrt(2 * pi()) * 0.1 * count(*)), 6) AS density FROM a CROSS JOIN s GROUP BY c_nationkey, x",
+    "kde_density": "WITH s AS (SELECT s_nationkey, s_acctbal / 10000 AS v FROM supplier WHERE s_acctbal IS NOT NULL), a AS (SELECT c_nationkey, round(avg(c_acctbal) / 10000, 6) AS x FROM customer GROUP BY c_nationkey) SELECT c_nationkey, x, round(sum(exp(-0.5 * ((x - v) / 0.1) * ((x - v) / 0.1))) / (sqrt(2 * pi()) * 0.1 * count(*)), 6) AS density FROM a JOIN s ON s_nationkey = c_nationkey GROUP BY c_nationkey, x",
     "gamma_score": f"{_scores(BINARY)}{_likely('gamma')} SELECT read_ord, category_idx, round(probability, 6) AS probability FROM pr",
+    "kde_score": f"{_scores(BINARY)}{_likely('kde')} SELECT read_ord, category_idx, round(probability, 6) AS probability FROM pr",
+    "trained_gamma": f"{_scores(BINARY)}{_trained('gamma')}",
+    "trained_beta": f"{_scores(BINARY)}{_trained('beta')}",
+    "filter_contains_hits": f"{_ALL} SELECT read_ord, bin, count(*) AS hits, true AS contained FROM rh JOIN idx USING (h) GROUP BY ALL",
+    "minimisers_of_items": f"""WITH RECURSIVE {_hashes('SELECT 0 AS src, item_id AS key, ' + _bases('text') + ' AS s FROM benchmark WHERE text IS NOT NULL')},
+n AS (SELECT key, max(i) AS last FROM x GROUP BY key),
+pos AS (SELECT key, i, x FROM x),
+e(key, place, i, v) AS (
+  SELECT key, 0, max(i), any_value(v) FROM (SELECT key, i, x AS v, min(x) OVER (PARTITION BY key) AS low FROM pos WHERE i < {S.window_size - S.kmer_size + 1}) WHERE v = low GROUP BY key
+  UNION ALL
+  SELECT key, place + 1, CASE WHEN drop_at IS NOT NULL THEN drop_at ELSE next_at END, (SELECT x FROM pos WHERE pos.key = f.key AND pos.i = CASE WHEN drop_at IS NOT NULL THEN drop_at ELSE next_at END)
+  FROM (
+    SELECT e.key, place, min(p.i) FILTER (p.x < e.v AND p.i < e.i + least({S.window_size - S.kmer_size + 1}, last + 1)) AS drop_at, arg_min(p.i, (p.x, -p.i)) AS next_at, any_value(e.i + least({S.window_size - S.kmer_size + 1}, last + 1) <= last) AS more
+    FROM e JOIN n USING (key) JOIN pos p ON p.key = e.key AND p.i > e.i AND p.i <= e.i + least({S.window_size - S.kmer_size + 1}, last + 1)
+    GROUP BY e.key, place
+  ) f WHERE drop_at IS NOT NULL OR more
+)
+SELECT key AS item_id, place, CAST(CAST(v AS HUGEINT) - 18446744073709551616 AS BIGINT) AS h FROM e""",
+    "optimize_layout": f"""WITH RECURSIVE {_STATS.removeprefix('WITH ')},
+cat(bin, category) AS (VALUES {', '.join(f"({i}, '{c}')" for i, c in enumerate(BINARY))}),
+line AS (SELECT bin, category, n_hashes, row_number() OVER (ORDER BY n_hashes, bin) AS place, max(n_hashes) OVER () / 2.0 AS half FROM st JOIN cat USING (bin)),
+fold(place, bin, bucket, free, hb, hs, mb, ms) AS (
+  SELECT CAST(0 AS BIGINT), -1, -1, 0, -1, CAST(0 AS BIGINT), -1, CAST(0 AS BIGINT)
+  UNION ALL
+  SELECT next, g.b, CASE WHEN new THEN free ELSE last END, CASE WHEN new THEN free + 1 ELSE free END,
+         CASE WHEN g.category = 'human' THEN CASE WHEN new THEN free ELSE last END ELSE hb END, CASE WHEN g.category = 'human' THEN CASE WHEN new THEN g.n_hashes ELSE held + g.n_hashes END ELSE hs END,
+         CASE WHEN g.category = 'microbe' THEN CASE WHEN new THEN free ELSE last END ELSE mb END, CASE WHEN g.category = 'microbe' THEN CASE WHEN new THEN g.n_hashes ELSE held + g.n_hashes END ELSE ms END
+  FROM (SELECT f.*, l.bin AS b, l.category, l.n_hashes, CASE WHEN l.category = 'human' THEN f.hb ELSE f.mb END AS last, CASE WHEN l.category = 'human' THEN f.hs ELSE f.ms END AS held,
+               (CASE WHEN l.category = 'human' THEN f.hb ELSE f.mb END) < 0 OR (CASE WHEN l.category = 'human' THEN f.hs ELSE f.ms END) + l.n_hashes >= l.half AS new, l.place AS next
+        FROM fold f JOIN line l ON l.place = f.place + 1) g
+),
+ly AS (SELECT bin, bucket FROM fold WHERE place > 0)
+SELECT bucket AS bin, CAST(sum(n_records) AS BIGINT) AS n_records, (SELECT count(DISTINCT h) FROM idx JOIN ly l ON l.bin = idx.bin WHERE l.bucket = ly.bucket) AS n_hashes FROM ly JOIN st USING (bin) GROUP BY bucket""",
+    "read_quality": """WITH q AS (SELECT doc_id, regexp_replace(COALESCE(text, ''), '[^!-~]', '', 'g') AS q FROM documents),
+l AS (SELECT doc_id, [ascii(c) - 33 for c in string_split(q, '') if c <> ''] AS a, [ascii(c) - 33 for c in string_split(left(q, 100), '') if c <> ''] AS b FROM q)
+SELECT doc_id, round(CASE WHEN len(a) > 0 THEN list_sum(a) / len(a) ELSE 0 END, 6) AS single, round(CASE WHEN len(a) > 0 THEN (list_sum(a) + list_sum(b)) / (len(a) + len(b)) ELSE 0 END, 6) AS paired FROM l""",
+    "normalised_bases": """WITH s AS (SELECT doc_id, regexp_replace(replace(upper(regexp_replace(COALESCE(text, ''), '[^A-Za-z]', '', 'g')), 'U', 'T'), '[^ACGT]', 'N', 'g') AS s FROM documents)
+SELECT doc_id, CAST(length(s) AS BIGINT) AS length, md5(s) AS digest FROM s""",
+    "paired_hashes": f"""WITH t AS (SELECT conv_id, CASE role WHEN 'user' THEN 0 ELSE 1 END AS src, {_bases("arg_min(text, turn)")} AS s FROM conversations WHERE text IS NOT NULL AND role IN ('user', 'assistant') GROUP BY conv_id, role), {_hashes('SELECT src, conv_id AS key, s FROM t')}
+SELECT conv_id AS read_ord, CAST((SELECT count(*) FROM m WHERE m.key = conv_id) AS INTEGER) AS n, CAST(sum(len(s)) AS BIGINT) AS length FROM t GROUP BY conv_id""",
     "beta_score": f"{_scores(BINARY)}{_likely('beta')} SELECT read_ord, category_idx, round(probability, 6) AS probability FROM pr",
     "call_host": f"{_HOST} SELECT read_ord, length, confidence, call FROM called",
     "call_category": f"""{_scores(BY_LANGUAGE)}{_likely('beta')},

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readsift.functions.columns import normalise, read_id
@@ -27,23 +27,27 @@ def read_fasta(spark: SparkSession, *paths: str) -> DataFrame:
     return rows.select("path", "read_ord", read_id(F.col("header")).alias("id"), "header", normalise(F.col("bases")).alias("seq"), F.lit(None).cast("string").alias("qual"))
 
 
-def read_fastq(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, read_ord, id, header, seq, qual of four-line records; read_ord is the record's number in its file.
+def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """path, line (from 0 in its file), value.
 
-    Lines are numbered by file order with ``zipWithIndex`` of the line reader's partitions, which keeps a plain file
-    splittable; a compressed one is a single task by nature. Raises where a record is not one.
+    A line's number in its split comes from the reader's running id; what the splits before it hold is a running sum over
+    one row a split. A plain file stays splittable; a compressed one is a single split by nature.
     """
-    parts = []
-    for path in paths:
-        lines = spark.read.text(path)
-        numbered = lines.rdd.map(lambda r: r[0]).zipWithIndex().toDF("value string, line long").where("trim(value) <> '' or line % 4 in (1, 3)")
-        records = numbered.groupBy(F.floor(F.col("line") / 4).alias("read_ord")).agg(*(F.max(F.when(F.col("line") % 4 == i, F.col("value"))).alias(n) for i, n in enumerate(["header", "seq", "plus", "qual"])))
-        sound = F.col("header").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual"))
-        checked = records.where(F.col("header").isNotNull()).where(F.when(sound, True).otherwise(F.raise_error(F.concat(F.lit("not a FASTQ record: "), F.coalesce("header", F.lit("?")))).cast("boolean")))
-        parts.append(checked.select(F.lit(path).alias("path"), "read_ord", F.substring("header", 2, 1 << 30).alias("header"), normalise(F.col("seq")).alias("seq"), "qual"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), "value")
+    splits = lines.groupBy("path", "split").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("path", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(splits, ["path", "split"]).select("path", (F.col("id") + F.col("shift")).alias("line"), "value")
+
+
+def read_fastq(spark: SparkSession, *paths: str) -> DataFrame:
+    """path, read_ord, id, header, seq, qual of four-line records; read_ord is the record's number in its file. Raises
+    where a record is not one."""
+    lines = numbered_lines(spark, *paths).where("trim(value) <> '' or line % 4 in (1, 3)")
+    records = lines.groupBy("path", F.floor(F.col("line") / 4).alias("read_ord")).agg(*(F.max(F.when(F.col("line") % 4 == i, F.col("value"))).alias(n) for i, n in enumerate(["header", "seq", "plus", "qual"])))
+    sound = F.col("header").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual"))
+    checked = records.where(F.col("header").isNotNull()).where(F.when(sound, True).otherwise(F.raise_error(F.concat(F.lit("not a FASTQ record: "), F.coalesce("header", F.lit("?")))).cast("boolean")))
+    out = checked.select("path", "read_ord", F.substring("header", 2, 1 << 30).alias("header"), normalise(F.col("seq")).alias("seq"), "qual")
     return out.select("path", "read_ord", read_id(F.col("header")).alias("id"), "header", "seq", "qual")
 
 

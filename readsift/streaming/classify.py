@@ -20,7 +20,7 @@ def call_stream(reads: DataFrame, index: IndexModel, settings, fitted: list[mode
     categories = index.categories()
     hit = probe.by_broadcast(pipeline.features(reads, index, settings.emission), index)
     scored = counts.category_scores(hit, index.category_bins())
-    likely = models.probabilities(scored, fitted or [models.prior(settings.dist) for _ in categories])
+    likely = models.probabilities(scored, fitted or [models.prior(settings.dist, settings.kde_prior) for _ in categories])
     least = settings.min_length if settings.min_length is not None else pipeline.MIN_LENGTH
     if settings.rule == "host":
         return calling.call_host(likely, categories, index.host_index(), settings, least)

@@ -1,3 +1,6 @@
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -11,6 +14,13 @@ def test_entry(spark):
     assert rows.where("count > 0").count() > 0
 
 
+def test_package_can_be_shipped(tmp_path):
+    path = tmp_path / "p.zip"
+    path.write_bytes(e._package())
+    code = f"import sys; sys.path.insert(0, {str(path)!r}); import readsift.plans.queries as q; assert '.zip' in q.__file__"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path).returncode == 0
+
+
 def test_names():
     assert set(e.oracle_sql()) <= set(e.queries())
     assert set(sql.ORACLES) <= set(queries.QUERIES)

@@ -226,6 +226,73 @@ def test_probabilities(spark, dist):
         assert abs(p[3] - pos / (pos + neg + 300 * math.exp(-60))) < 1e-9
 
 
+def test_prior_from_a_file(tmp_path):
+    path = tmp_path / "prior.txt"
+    path.write_text("pos 0.5\npos\t0.7\n\nneg 0.02\n")
+    held = models.prior("kde", str(path))
+    assert (held["pos"].sample, held["neg"].sample) == ([0.5, 0.7], [0.02])
+    path.write_text("pos 0.5\n")
+    with pytest.raises(ValueError):
+        models.prior("kde", str(path))
+
+
+def test_training_window(world):
+    _, _, model, frame = world
+    settings = DehostSettings(dist="beta", training="first_n", num_reads_to_fit=3)
+    from dataclasses import replace
+
+    scored = pipeline.score(frame, model, settings)
+    assert pipeline.fitted(scored, 3, replace(settings, training_window=1000)) == pipeline.fitted(scored, 3, settings)
+    assert pipeline.fitted(scored, 3, replace(settings, training_window=1)) == [models.prior("beta")] * 3
+
+
+def test_distributions_add_up():
+    import random as plain_random
+
+    r = plain_random.Random(2)
+    for shape, loc, scale in ((25.0, 0.0, 0.02), (0.4, 0.1, 2.0), (1.0, 0.0, 1.0)):
+        x = np.sort([loc + r.gammavariate(shape, scale) for _ in range(4000)])
+        assert abs(stats.gamma_cdf(x, shape, loc, scale) - (np.arange(4000) + 0.5) / 4000).max() < 0.035
+    assert abs(stats.gamma_cdf(np.array([1.0, 2.0]), 1.0, 0.0, 1.0) - (1 - np.exp([-1.0, -2.0]))).max() < 1e-6
+    for a, b in ((6.0, 40.0), (0.5, 0.5), (2.0, 1.0)):
+        x = np.sort([r.betavariate(a, b) for _ in range(4000)])
+        assert abs(stats.beta_cdf(x, a, b) - (np.arange(4000) + 0.5) / 4000).max() < 0.035
+    x = np.array([r.betavariate(6, 40) for _ in range(500)])
+    assert stats.anderson_darling(x, lambda v: stats.beta_cdf(v, 6, 40)) < stats.anderson_darling(x, lambda v: stats.beta_cdf(v, 6, 20))
+
+
+def test_short_numbers(spark):
+    from readsift.operators.sinks import short
+
+    values = [0.0, 0.5, 1.0, -2.25, 0.123456789, 123456.4, 999999.6, 1234567.0, 0.0001, 0.00001234567, 1e20, 100.0, 12.0, float("nan"), None]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(short(F.col("v"))).collect()]
+    assert got == [None if v is None else "%.6g" % v for v in values]
+
+
+def test_scores_are_written_once_in_a_plan(spark, sf):
+    """Expressions over scores stand once in the plan, however often they are mentioned."""
+    from readsift.plans.queries import QUERIES
+
+    for name in ("assignment_rows", "beta_score", "gamma_score", "training_candidates"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("transform(") < 20, name
+
+
+def test_beta_loc(spark):
+    assert spark.range(1).select(stats.beta_loc(F.lit(0.5), F.lit(6.0), F.lit(4.0))).collect()[0][0] == pytest.approx(-0.1)
+
+
+def test_long_reference_is_cut_in_linear_time(spark):
+    """A sequence of 300 MB, through the pass that cuts it."""
+    import time
+
+    frame = spark.range(1).selectExpr("0 bin", f"repeat('{'ACGTA' * 200}', 300000) seq")
+    began = time.time()
+    rows = index.pieces(frame, 41).selectExpr("length(seq) n").collect()
+    assert len(rows) == -(-(300_000_000 - 40) // index.PIECE) and sum(r.n for r in rows) == 300_000_000 + 40 * (len(rows) - 1)
+    assert time.time() - began < 60
+
+
 def test_kernel_density_prior_has_its_moments():
     for side in ("pos", "neg"):
         sample = np.array(models.prior("kde")[side].sample)
