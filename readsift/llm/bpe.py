@@ -3,7 +3,8 @@
 Texts are split into pre-tokens and every pre-token becomes its number in the dictionary of a block of documents, so
 that a block is a sequence of positions plus a list of distinct words. The words of all blocks are dealt out by a hash,
 each distinct word is encoded once where it arrives, its ids go back to the blocks that hold it, and each block puts
-its documents together by position. What is shuffled is packed: one row per block and hash bucket, compressed.
+its documents together by position. What is shuffled is packed: one row per block and hash bucket, compressed. The
+positions of a block stay in a file of the shared folder.
 Decoding looks ids up in the token-byte table, whose size is that of the vocabulary.
 """
 
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from readsift.llm.common import release, shared_dir, slices
+from readsift.llm.common import cut, file_system, new_folder, release, slices
 
 #: Text of a block in bytes; a longer document is a block of its own.
 BLOCK_BYTES = 8 << 20
+#: Text of all blocks whose words go to one bucket, in bytes; there are so many buckets, or more.
+BUCKET_BYTES = 256 << 20
 #: Positions that are put together at once.
 POSITIONS = 1 << 20
 PACKED = "block string, bucket int, body binary"
@@ -56,6 +59,10 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=_ranks(path), special_tokens={})
 
 
+#: A pattern that takes a pre-token whole, so that it is encoded as the piece that it is.
+WHOLE = r"(?s).+"
+
+
 @lru_cache(maxsize=2)
 def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The token-byte table: all tokens' bytes by id, where each begins and how long it is (-1: no such id)."""
@@ -106,8 +113,11 @@ class _Pieces(dict):
         return found
 
 
-def _split(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents: a row in bucket -1 with ids and positions, and a row for each bucket that has words."""
+def _split(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int, folder: str) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents: a file with ids and positions, a row for each bucket that has words, and one in bucket -1 that
+    names the block where it has no words. A task that runs twice leaves files that no row names."""
+    system, path = file_system(folder)
+    system.create_dir(path, recursive=True)
     rx = regex.compile(pattern)
     words: dict[str, int] = {}
     first, later = _Pieces(words, rx, ""), _Pieces(words, rx, " ")
@@ -127,7 +137,9 @@ def _split(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int) -> I
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
         seq, named = rank[seq], list(words)
-        rows = [(-1, _pack(np.array(counts, np.uint32), seq, tail=sink.getvalue().to_pybytes()))]
+        with system.open_output_stream(f"{path}/{name}", compression=None) as out:
+            out.write(_pack(np.array(counts, np.uint32), seq, tail=sink.getvalue().to_pybytes()))
+        rows = [] if named else [(-1, b"")]
         buckets: dict[int, tuple[list[int], list[bytes]]] = {}
         for number, old in enumerate(order.tolist()):
             raw = named[old].encode()
@@ -153,7 +165,7 @@ def _split(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int) -> I
                 found = [words.setdefault(w, len(words)) for w in rx.findall(text)]
             counts.append(len(found))
             sequences.append(np.array(found, np.uint32))
-            held += len(text)
+            held += len(text.encode()) if not text.isascii() else len(text)
         if held >= BLOCK_BYTES:
             yield block()
             for x in (words, first, later, ids, counts, sequences):
@@ -166,33 +178,42 @@ def _split(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int) -> I
     release()
 
 
-def _encode_bucket(rows: pa.Table, path: str, pattern: str) -> pa.Table:
-    """Ids of the words of one hash bucket, for every block that holds some; each distinct word is encoded once."""
-    encode = _encoding(path, pattern)._encode_single_piece
+def _encode_buckets(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Ids of the words of hash buckets, for every block that holds some, row by row; each distinct word is encoded once.
+    What a task remembers are the distinct words of its buckets."""
+    encode = _encoding(path, WHOLE).encode_ordinary
     known: dict[bytes, list[int]] = {}
-    bodies = []
-    for body in rows.column("body").to_pylist():
-        (steps, lengths), raw = _unpack(body)
-        ends = np.cumsum(lengths, dtype=np.int64).tolist()
-        found, at = [], 0
-        for end in ends:
-            word = raw[at:end]
-            ids = known.get(word)
-            if ids is None:
-                known[word] = ids = encode(word)
-            found.append(ids)
-            at = end
-        flat = np.fromiter(chain.from_iterable(found), np.uint32)
-        bodies.append(_pack(steps, np.fromiter(map(len, found), np.uint32, len(found)), flat))
-    return pa.table([rows.column("block"), rows.column("bucket"), pa.array(bodies, pa.binary())], names=["block", "bucket", "body"])
-
-
-def _assemble(positions: pa.Table, encoded: pa.Table, id_type: pa.DataType) -> pa.Table:
+    for batch in batches:
+        for block, bucket, body in zip(*(batch.column(c) for c in ("block", "bucket", "body"))):
+            if bucket.as_py() < 0:
+                yield pa.record_batch([pa.array([block.as_py()]), pa.array([-1], pa.int32()), pa.array([b""], pa.binary())], names=["block", "bucket", "body"])
+                continue
+            (steps, lengths), raw = _unpack(body.as_py())
+            found, at = [], 0
+            for end in np.cumsum(lengths, dtype=np.int64).tolist():
+                word = raw[at:end]
+                ids = known.get(word)
+                if ids is None:
+                    known[word] = ids = encode(word.decode())
+                found.append(ids)
+                at = end
+            flat = np.fromiter(chain.from_iterable(found), np.uint32)
+            out = _pack(steps, np.fromiter(map(len, found), np.uint32, len(found)), flat)
+            yield pa.record_batch([pa.array([block.as_py()]), pa.array([bucket.as_py()], pa.int32()), pa.array([out], pa.binary())], names=["block", "bucket", "body"])
+    known.clear()
+    release()
+
+
+def _assemble(encoded: pa.Table, id_type: pa.DataType, folder: str) -> pa.Table:
     """The documents of one block: ids of its words by position."""
-    (counts, sequence), tail = _unpack(positions.column("body")[0].as_py())
+    system, path = file_system(folder)
+    with system.open_input_stream(f"{path}/{encoded.column('block')[0].as_py()}", compression=None) as file:
+        (counts, sequence), tail = _unpack(file.read())
     docs = pa.ipc.open_stream(tail).read_all().column("id")
     numbers, lengths, flats = [], [], []
-    for body in encoded.column("body"):
+    for bucket, body in zip(encoded.column("bucket").to_pylist(), encoded.column("body")):
+        if bucket < 0:
+            continue
         arrays, _ = _unpack(body.as_py())
         numbers.append(np.cumsum(arrays[0], dtype=np.int64))
         lengths.append(arrays[1].astype(np.int64))
@@ -223,35 +244,22 @@ def _assemble(positions: pa.Table, encoded: pa.Table, id_type: pa.DataType) -> p
 def encode(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id and ``ids`` (array of int), as the public library encodes without special tokens.
 
-    A null or empty text has no ids; repeated rows are answered one by one; other columns are ignored. The blocks are
-    written to the shared folder once, because their make-up follows the order in which rows arrive.
+    A null or empty text has no ids; repeated rows are answered one by one; other columns are ignored. The blocks' words
+    are cut off in the shared folder, because blocks are named and made up as rows arrive. The number of buckets grows
+    with the bytes of the texts, so that what a task remembers of distinct words does not.
     """
     path, pattern = vocabulary(path, pattern)
     spark = docs.sparkSession
-    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     given = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = given.schema["id"].dataType
-    blocks = _stored(given.mapInArrow(partial(_split, pattern=pattern, n_buckets=n_buckets), PACKED), n_buckets)
-    words = blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda rows: _encode_bucket(rows, path, pattern), PACKED)
+    size = given.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    folder = new_folder(spark, "positions")
+    words = cut(given.mapInArrow(partial(_split, pattern=pattern, n_buckets=n_buckets, folder=folder), PACKED))
+    encoded = words.repartition(n_buckets, "bucket").mapInArrow(partial(_encode_buckets, path=path), PACKED)
     schema = StructType().add("doc_id", kind).add("ids", ArrayType(IntegerType()))
     id_type = to_arrow_type(kind)
-    positions = blocks.where("bucket < 0").groupBy("block")
-    return positions.cogroup(words.groupBy("block")).applyInArrow(lambda left, right: _assemble(left, right, id_type), schema)
-
-
-def _stored(packed: DataFrame, n: int) -> DataFrame:
-    """The packed rows as a table in the shared folder, dealt by block, so that the last step need not shuffle positions.
-
-    The table's entry in the catalog goes at once; its files stay with the other checkpoints.
-    """
-    spark = packed.sparkSession
-    shared_dir(spark)
-    name = f"readsift_bpe_{uuid.uuid4().hex}"
-    writer = packed.write.bucketBy(n, "block")
-    writer.option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}").option("compression", "none").saveAsTable(name)
-    stored = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")
-    return stored
+    return encoded.groupBy("block").applyInArrow(lambda rows: _assemble(rows, id_type, folder), schema)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
