@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readsift.llm.common import WORD
+from readsift.llm.common import WORD, cut, fresh
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -16,9 +16,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the id and the seed alone: 52 bits of an MD5."""
-    hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) that depends on the seed and the id, or the text where there is no id: 52 bits of an MD5."""
+    said = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
+    hashed = F.md5(F.concat(F.lit(seed + ":"), said))
     return F.conv(F.substring(hashed, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(2**52))
 
 
@@ -50,44 +51,38 @@ def mix_plan(docs: DataFrame, *, text="text", source="source", doc_id="doc_id",
     """Per document: doc_id, source, size, source_size, target, copies (long).
 
     Copies are ``floor(rate)`` plus one with the probability of the fraction, where rate = target / source_size; the
-    draw depends on seed and id alone, so reruns agree and rows that repeat an id share it. A null text has size 0; a
-    null source is a source of its own; a source without words has rate 0. Other columns are ignored. The totals per
-    source are combined before the shuffle, and the join back may be split by adaptive execution, so a source that
-    holds most rows is no hot spot; the global windows see one row per source.
+    draw depends on seed and id alone (without an id, on seed and text), so reruns agree and rows that repeat an id share
+    it. A null text has size 0; a null source is a source of its own; a source without words has rate 0. Other columns
+    are ignored. The totals per source are combined before the shuffle, and the join back may be split by adaptive
+    execution, so a source that holds most rows is no hot spot. The global windows see one row per source, in one task:
+    sources are names of collections, up to millions of them, not hosts or paths without number.
     """
-    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
-    targets = source_targets(sizes, weights, cap).withColumnRenamed("source", "of")
+    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), draw(F.col(doc_id), F.col(text), seed).alias("draw"))
+    targets = source_targets(sizes.drop("draw"), weights, cap).withColumnRenamed("source", "of")
     joined = sizes.join(targets, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
-    extra = (draw(F.col("doc_id"), seed) < rate - whole).cast("long")
-    return joined.withColumn("copies", whole.cast("long") + extra)
+    extra = (F.col("draw") < rate - whole).cast("long")
+    return joined.withColumn("copies", whole.cast("long") + extra).drop("draw")
 
 
-#: Sources up to which their rates are broadcast; beyond, copies are joined back by document.
+#: Sources up to which their rates are broadcast; beyond, adaptive execution chooses, and splits a source of many rows.
 MOST_BROADCAST = 10_000
 
 
 def mix_documents(docs: DataFrame, *, text="text", source="source", doc_id="doc_id", weights=WEIGHTS, cap=CAP, seed=SEED) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns that came in.
+    """The documents of the mix, each as often as it is taken, with the columns that came in, whatever their names.
 
-    What a document's source is taken at is enough to tell its copies, so the rates travel to the documents while
-    there are few sources; with many, the copies of ``mix_plan`` are joined by id and source.
+    What a document's source is taken at is enough to tell its copies, so one rate per source meets the documents.
     """
-    from readsift.llm.common import cut
-
     sizes = docs.select(F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
     targets = cut(source_targets(sizes, weights, cap))
+    of, rate, copy = (fresh(docs, name) for name in ("of", "rate", "copy"))
+    rates = targets.select(F.col("source").alias(of), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate))
     if targets.count() <= MOST_BROADCAST:
-        rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-        rates = F.broadcast(targets.select(F.col("source").alias("__source"), rate.alias("__rate")))
-        joined = docs.join(rates, docs[source].eqNullSafe(F.col("__source")))
-        whole = F.floor("__rate")
-        copies = whole + (draw(docs[doc_id], seed) < F.col("__rate") - whole).cast("long")
-    else:
-        plan = mix_plan(docs, text=text, source=source, doc_id=doc_id, weights=weights, cap=cap, seed=seed).groupBy("doc_id", "source").agg(F.max("copies").alias("__copies"))
-        plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "__copies")
-        joined = docs.join(plan, docs[doc_id].eqNullSafe(F.col("__id")) & docs[source].eqNullSafe(F.col("__source")))
-        copies = F.col("__copies")
-    taken = joined.withColumn("__n", copies.cast("int")).where("__n > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*(docs[c] for c in docs.columns))
+        rates = F.broadcast(rates)
+    joined = docs.join(rates, docs[source].eqNullSafe(F.col(of)))
+    whole = F.floor(F.col(rate))
+    copies = (whole + (draw(docs[doc_id], docs[text], seed) < F.col(rate) - whole).cast("long")).cast("int")
+    taken = joined.withColumn(of, copies).where(F.col(of) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(of)))).select(*docs.columns)

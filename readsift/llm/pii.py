@@ -15,6 +15,19 @@ from pyspark.sql import functions as F
 
 from readsift.llm.common import let
 
+#: Characters of an IBAN by country, as registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban_pattern() -> str:
+    """A country, two digits and as many more letters or digits as the country has, each after a space or not."""
+    return "|".join(rf"(?:{'|'.join(names.split())})[0-9]{{2}}(?:[\x20]?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items())
+
+
 #: Kinds in the order in which spans that start together are listed. The first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
@@ -25,7 +38,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?",
+    "iban": rf"(?=[A-Z]{{2}}[0-9]{{2}})(?:{iban_pattern()})",
     "ssn": r"[0-9]++(?:-[0-9]++)++",
 }
 #: What a text must contain for the pattern to be tried at all; a pattern of two digits where no one character is needed.

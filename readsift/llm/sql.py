@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from readsift.llm.pii import iban_pattern
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op3_mixing"] = r"""
 WITH s AS (
-  SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  SELECT doc_id, source, CASE WHEN doc_id IS NULL THEN text END AS text, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents
 ), p AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -28,7 +30,7 @@ WITH s AS (
 ), r AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-         CAST(CAST('0x' || substr(md5('readsift-mix:' || COALESCE(CAST(s.doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE)
+         CAST(CAST('0x' || substr(md5('readsift-mix:' || COALESCE(CAST(s.doc_id AS VARCHAR), 'null:' || md5(COALESCE(s.text, '')))), 1, 13) AS BIGINT) AS DOUBLE)
            / 4503599627370496.0 AS u
   FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source
 )
@@ -72,7 +74,7 @@ _PII = [
     _pii_spans("ip", 1, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", rf"regexp_full_match(m, '{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}')", 1.0, "ip", 0.0),
     _pii_spans("card", 2, r"[0-9](?:[\x20-]?[0-9])+", f"CASE WHEN length({_DIGITS}) BETWEEN 14 AND 19 THEN {_LUHN} ELSE false END", 1.0, "card", 0.0),
     _pii_spans("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15", 1.0, "phone", 0.0),
-    _pii_spans("iban", 4, r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?", f"length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND {_MOD97}", 0.8, "iban|account|bank|konto|transfer", 0.7),
+    _pii_spans("iban", 4, iban_pattern(), f"length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND {_MOD97}", 0.8, "iban|account|bank|konto|transfer", 0.7),
     _pii_spans("ssn", 5, r"[0-9]+(?:-[0-9]+)+", r"regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$')", 0.5, "ssn|social|security|taxpayer", 0.7),
 ]
 

@@ -47,3 +47,13 @@ def test_no_documents(spark):
     one = spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")
     assert mixing.mix_plan(one).collect()[0].copies == 0
     assert mixing.mix_documents(one).count() == 0
+
+
+def test_rows_without_an_id_draw_by_their_text(spark):
+    rows = [(None, f"a b c d{i}", "s" if i % 4 else "t") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("of", mixing.F.lit(1)).withColumn("rate", mixing.F.lit(2))
+    per = {r.source: (r["sum(copies)"], r["max(rate)"]) for r in mixing.mix_plan(docs).selectExpr("source", "copies", "target / source_size rate").groupBy("source").agg({"copies": "sum", "rate": "max"}).collect()}
+    for source, n in (("s", 900), ("t", 300)):
+        assert abs(per[source][0] - n * per[source][1]) < 0.12 * n
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(a for a, _ in per.values())

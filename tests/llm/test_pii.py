@@ -78,6 +78,8 @@ def found(spark, text):
 
 
 def test_checksums_and_context_of_added_kinds(spark):
+    assert [x[:2] for x in found(spark, "AT61 1904 3002 3457 3201 NOW")] == [("iban", "AT61 1904 3002 3457 3201")]
+    assert [x[:2] for x in found(spark, "PAY DE89370400440532013000 TODAY")] == [("iban", "DE89370400440532013000")]
     assert [x[:2] for x in found(spark, "é GB82 WEST 1234 5698 7654 32 is one")] == [("iban", "GB82 WEST 1234 5698 7654 32")]
     assert found(spark, "GB83 WEST 1234 5698 7654 32") == []
     assert [x[:2] for x in found(spark, "his SSN: 219-09-9999.")] == [("ssn", "219-09-9999")]
