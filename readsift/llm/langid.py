@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readsift.llm.common import slices
+from readsift.llm.common import fresh, slices
 
 UNKNOWN = "und"
 
@@ -92,12 +92,12 @@ def sample(docs: DataFrame, s: Settings, *, text="text", lang="lang", doc_id="do
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
     if held_out is not None:
         rows = rows.where(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % 4 != held_out)
-    rank = F.xxhash64("id", F.length("text"))
+    rank = F.xxhash64("id", "text")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # as many rows as the model has outputs
     most = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, (2.0 * s.per_language + 50) / n))) if counts else F.create_map().cast("map<string,double>")
     share = (F.xxhash64(rank, F.lit(1)).bitwiseAND((1 << 30) - 1) / float(1 << 30)).alias("share")
     near = rows.withColumn("share", share).where(F.col("share") <= most[F.col("lang")])
-    order = Window.partitionBy("lang").orderBy("share", "id")
+    order = Window.partitionBy("lang").orderBy("share", "id", "text")
     few = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= s.per_language).select("lang", "n", "text")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,10 +136,28 @@ def fit(docs: DataFrame, settings: Settings = Settings(), **columns) -> Model |
     return Model(languages, landmarks.T @ per_landmark.astype(np.float32), settings)
 
 
+def outputs(texts: list[str | None], model: Model | None, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the texts' spectra, and the regression outputs by language: one product for all texts."""
+    seen = np.array([presence(t or "", settings if model is None else model.settings) for t in texts])
+    sizes = np.count_nonzero(seen, axis=1)
+    if model is None:
+        return sizes, np.zeros((len(texts), 0), np.float32)
+    return sizes, (seen.astype(np.float32) @ model.weights) / np.sqrt(np.maximum(sizes, 1))[:, None]
+
+
+#: Texts that are scored by one product.
+ROWS = 256
+
+
+def _parts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    return (b.slice(a, ROWS) for b in slices(batches, text) for a in range(0, b.num_rows, ROWS))
+
+
 def predict(docs: DataFrame, model: Model | None, *, text="text", doc_id="doc_id") -> DataFrame:
     """Per row of ``docs``: doc_id, lang_pred, score in [0, 1]; ``und`` with score 0 where there is no letter or no model.
 
-    Whole texts are scored. The score is the softmax share of the best language over the regression outputs.
+    Whole texts are scored. The score is the softmax share of the best language over the regression outputs; of languages
+    with equal outputs the first by name is taken.
     """
     from pyspark.sql.types import DoubleType, StringType, StructType
 
@@ -149,13 +167,11 @@ def predict(docs: DataFrame, model: Model | None, *, text="text", doc_id="doc_id
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in (b.slice(a, 256) for b in slices(batches, "text") for a in range(0, b.num_rows, 256)):
+        for batch in _parts(batches, "text"):
             names: list[str] = [UNKNOWN] * batch.num_rows
             scores = np.zeros(batch.num_rows)
             if model is not None:
-                seen = np.array([presence(t or "", model.settings) for t in batch.column("text").to_pylist()])
-                sizes = np.count_nonzero(seen, axis=1)
-                f = (seen.astype(np.float32) @ model.weights) / np.sqrt(np.maximum(sizes, 1))[:, None]
+                sizes, f = outputs(batch.column("text").to_pylist(), model, model.settings)
                 e = np.exp(4.0 * (f - f.max(1, keepdims=True)))
                 share = (e / e.sum(1, keepdims=True)).astype(np.float64)
                 best = f.argmax(1)
@@ -178,20 +194,17 @@ def accepted(docs: DataFrame, model: Model | None, *, text="text", doc_id="doc_i
     from pyspark.sql.types import BooleanType, StructType
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    mark = fresh(docs, "accepted")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            model = shared.value
-            keep = []
-            for t in batch.column(text).to_pylist():
-                seen = presence(t or "", settings if model is None else model.settings)
-                size = np.count_nonzero(seen)
-                keep.append(bool(size))
-                if size and model is not None:
-                    f = model.weights[seen].sum(0) / np.sqrt(size)
-                    f = np.sort(f)
-                    keep[-1] = bool(f[-1] - f[-2] >= settings.least_margin if len(f) > 1 else f[-1] >= settings.least_output)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keep, pa.bool_())], names=[*batch.schema.names, "__accepted"])
-
-    schema = StructType([*docs.schema.fields]).add("__accepted", BooleanType())
-    return docs.mapInArrow(judged, schema).where("__accepted").drop("__accepted")
+        model = shared.value
+        for batch in _parts(batches, text):
+            sizes, f = outputs(batch.column(text).to_pylist(), model, settings)
+            keep = sizes > 0
+            if model is not None:
+                f = np.sort(f, axis=1)
+                keep &= f[:, -1] - f[:, -2] >= settings.least_margin if f.shape[1] > 1 else f[:, -1] >= settings.least_output
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keep)], names=[*batch.schema.names, mark])
+
+    schema = StructType([*docs.schema.fields]).add(mark, BooleanType())
+    return docs.mapInArrow(judged, schema).where(mark).drop(mark)
