@@ -107,7 +107,7 @@ def repeated_words(numbers: np.ndarray, window: int = WINDOW) -> int:
 def script(text: str) -> str:
     """The script of most letters; "other" where there are none."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    codes = codes[codes > 64]
+    codes = codes[_letters()[codes]]
     votes: dict[str, int] = {}
     edges = np.array(sorted({e for a, b, _ in RANGES for e in (a, b)}))
     bins = np.bincount(np.searchsorted(edges, codes, side="right"), minlength=len(edges) + 1)
@@ -119,6 +119,15 @@ def script(text: str) -> str:
 
 
 _ODD = np.zeros(0, bool)
+_LETTERS = np.zeros(0, bool)
+
+
+def _letters() -> np.ndarray:
+    """Which code points are letters or marks that belong to them."""
+    global _LETTERS
+    if not len(_LETTERS):
+        _LETTERS = np.array([category(chr(i))[0] in "LM" for i in range(0x110000)])
+    return _LETTERS
 
 
 def odd_share(text: str) -> float:

@@ -88,3 +88,32 @@ def test_bands_reject_random_characters_and_keep_clean_text(spark):
     rows = quality.measure(spark.createDataFrame(list(enumerate(junk + clean)), "doc_id long, text string")).collect()
     said = {row.doc_id: row.in_band for row in rows}
     assert [said[i] for i in range(len(rows))] == [False] * len(junk) + [True] * len(clean)
+
+
+def test_script_counts_letters_alone():
+    assert quality.script("[_{|}~^`@ ab жжж") == "greek_cyrillic"
+    assert quality.script("[_{|}~^` 12 !!") == "other" and quality.script("") == "other"
+    assert quality.script("देवनागरी ab") == "indic" and quality.script("日本語 a") == "cjk"
+
+
+def test_verdicts_of_the_whole_table(spark, sf):
+    """kept and in_band, one document at a time."""
+    import unicodedata
+
+    import numpy as np
+
+    model = sentencepiece.SentencePieceProcessor(model_file=quality.vocabulary())
+    found = {r.doc_id: r for r in quality.measure(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    for doc in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        text = doc.text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        ids = [t for w in words for t in model.encode(w)]
+        p = np.array(list(Counter(ids).values())) / max(1, len(ids))
+        entropy, share = float(-(p * np.log2(p)).sum()), sum(map(model.is_byte, ids)) / max(1, len(ids))
+        far = [c for c in text if ord(c) > 127]
+        odd = sum(unicodedata.category(c)[0] == "S" or unicodedata.category(c) in ("Cn", "Co", "Cs") for c in far) / max(1, len(far))
+        low, high, most, least = quality.BANDS[quality.script(text)]
+        inside = bool(ids) and low <= sum(map(len, words)) / len(ids) <= high and share <= most and entropy >= least and (odd <= quality.ODD or share <= quality.ODD_BYTES)
+        n, *_, repeated = brute(text)
+        assert found[doc.doc_id].in_band == inside
+        assert found[doc.doc_id].kept == (inside and n >= 50 and 100 * repeated <= 50 * n)
