@@ -29,7 +29,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 from readsift.llm.common import cut, file_system, new_folder, release, slices
 
 #: Text of a block in bytes; a longer document is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Text of all blocks whose words go to one bucket, in bytes; there are so many buckets, or more.
 BUCKET_BYTES = 256 << 20
 #: Positions that are put together at once.
