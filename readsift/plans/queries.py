@@ -268,6 +268,12 @@ def paired_hashes(spark, sf_dir):
     return both.select("read_ord", F.size(paired_minimisers(F.col("a"), F.col("b"), emission="distinct")).alias("n"), C.length(F.col("a"), F.col("b")).alias("length"))
 
 
+def assignment_lines(spark, sf_dir):
+    """The text of the assignments but for the compression ratio, which depends on the build of a library and is 0 here."""
+    rows = sinks.assignments(_called(spark, sf_dir).withColumn("compression", F.lit(0.0)), sorted(set(BINARY)))
+    return sinks.assignment_text(rows)
+
+
 def extract_human(spark, sf_dir):
     return sinks.extract(_called(spark, sf_dir), reads(spark, sf_dir), "human").select("read_ord", "id", F.length("seq").alias("n"))
 
@@ -307,6 +313,6 @@ QUERIES = {
         minimisers_distinct, minimisers_emitted, minimisers_of_items, kmer_window_min, bin_stats, bins_by_size, max_bin, bloom_sizing, bloom_capacity, optimize_layout,
         membership_probe, hits_per_bin, hits_per_bin_local, hits_per_bin_filter, filter_contains_hits, category_scores, category_scores_by_language,
         training_candidates, training_first_n, gamma_fit, beta_fit, kde_bandwidth, kde_density,
-        call_host, call_category, result_rollup, assignment_rows, assignment_text, extract_human, dehost_trained, read_features, read_quality, normalised_bases, compression_ratio, pair_join, paired_hashes,
+        call_host, call_category, result_rollup, assignment_rows, assignment_text, assignment_lines, extract_human, dehost_trained, read_features, read_quality, normalised_bases, compression_ratio, pair_join, paired_hashes,
     )
-} | {f"trained_{d}": _trained(d) for d in ("gamma", "beta")} | {f"{d}_score": _scores(d) for d in ("gamma", "beta", "kde")}
+} | {f"trained_{d}": _trained(d) for d in ("gamma", "beta", "kde")} | {f"{d}_score": _scores(d) for d in ("gamma", "beta", "kde")}

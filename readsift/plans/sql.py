@@ -115,6 +115,11 @@ def _trained(dist: str) -> str:
         fitted = f"""CASE WHEN n >= {TO_FIT} AND c IS NOT NULL THEN mean * c ELSE {pick(0)} END AS p1, CASE WHEN n >= {TO_FIT} AND c IS NOT NULL THEN (1 - mean) * c ELSE {pick(1)} END AS p2, 0.0 AS loc
   FROM (SELECT *, CASE WHEN variance > 0 AND variance < mean * (1 - mean) THEN mean * (1 - mean) / variance - 1 END AS c FROM mo)"""
         density = "CASE WHEN x > 0 AND x < 1 THEN exp(lgamma(p1 + p2) - lgamma(p1) - lgamma(p2) + (p1 - 1) * ln(x) + (p2 - 1) * ln(1 - x)) ELSE 0.0 END"
+    elif dist == "kde":
+        fitted = "0.0 AS p1, 0.0 AS p2, 0.0 AS loc, n, h FROM (SELECT *, CASE side " + " ".join(f"WHEN '{s}' THEN {models.KDE[s][3]}" for s in ("pos", "neg")) + " END AS h FROM mo)"
+        prior = " ".join(f"WHEN '{s}' THEN {_kernel_density(s, 'x')}" for s in ("pos", "neg"))
+        own = f"(SELECT avg(exp(-0.5 * pow((x - value) / h, 2))) / (h * {math.sqrt(2 * math.pi)!r}) FROM few WHERE few.category_idx = ft.category_idx AND few.side = ft.side)"
+        density = f"CASE WHEN n >= {TO_FIT} THEN {own} ELSE CASE side {prior} END END"
     else:
         given = " ".join(f"WHEN '{s}' THEN {{{i}}}" for i, s in enumerate(("pos", "neg")))
         pick = lambda k: f"CASE side {given.format(models.GAMMA['pos'][k], models.GAMMA['neg'][k])} END"
@@ -183,6 +188,11 @@ ORACLES = {
     "gamma_score": f"{_scores(BINARY)}{_likely('gamma')} SELECT read_ord, category_idx, round(probability, 6) AS probability FROM pr",
     "kde_score": f"{_scores(BINARY)}{_likely('kde')} SELECT read_ord, category_idx, round(probability, 6) AS probability FROM pr",
     "trained_gamma": f"{_scores(BINARY)}{_trained('gamma')}",
+    "trained_kde": f"{_scores(BINARY)}{_trained('kde')}",
+    "assignment_lines": f"""{_HOST}
+SELECT concat_ws(chr(9), any_value(CASE WHEN call IS NULL THEN 'U' ELSE 'C' END), 'doc' || read_ord, any_value(COALESCE(call, '')), any_value(length), any_value(pr.num_hashes), any_value(printf('%.6g', mean_quality)), any_value(confidence), '0',
+  string_agg(concat_ws(':', (['human', 'microbe'])[category_idx + 1], count, printf('%.6g', prop), printf('%.6g', unique_prop), printf('%.6g', probability)) || ' ', '' ORDER BY category_idx)) AS value
+FROM called JOIN pr USING (read_ord) GROUP BY read_ord""",
     "trained_beta": f"{_scores(BINARY)}{_trained('beta')}",
     "filter_contains_hits": f"{_ALL} SELECT read_ord, bin, count(*) AS hits, true AS contained FROM rh JOIN idx USING (h) GROUP BY ALL",
     "minimisers_of_items": f"""WITH RECURSIVE {_hashes('SELECT 0 AS src, item_id AS key, ' + _bases('text') + ' AS s FROM benchmark WHERE text IS NOT NULL')},
