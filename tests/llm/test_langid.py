@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +66,30 @@ def test_foreign_texts_go_and_short_clean_ones_stay(spark, languages):
     kept = [x.doc_id for x in langid.accepted(docs, model).select("doc_id").collect()]
     assert sum(i < len(clean) for i in kept) >= 0.95 * len(clean)
     assert sum(i >= len(clean) for i in kept) <= 0.1 * len(foreign)
+
+
+def test_predictions_as_kernel_ridge_regression_one_text_at_a_time(spark, sf):
+    """The query's path, against kernels of texts with landmarks, the Nystrom map and ridge regression written out."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    settings = langid.Settings(landmarks=8, per_language=30)
+    rows = sorted(langid.sample(docs, settings).collect(), key=lambda r: (r["lang"], r["n"]))
+    seen = [np.unpackbits(np.frombuffer(r["seen"], np.uint8)).astype(bool) for r in rows]
+    names = sorted({r["lang"] for r in rows})
+    marks = [s for i, s in enumerate(seen) if sum(r["lang"] == rows[i]["lang"] for r in rows[:i]) < settings.landmarks]
+    kernel = lambda a, b: (a & b).sum() / np.sqrt(a.sum() * b.sum())
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    root = vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()])
+    z = np.array([[kernel(a, b) for b in marks] for a in seen]) @ root
+    y = np.array([[1.0 if r["lang"] == n else -1.0 for n in names] for r in rows])
+    size = np.array([[sum(q["lang"] == r["lang"] for q in rows)] for r in rows])
+    w = (z / size).T @ z
+    beta = np.linalg.solve(w + settings.ridge * np.eye(len(w)) * np.trace(w) / len(w), (z / size).T @ y)
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langid.fit(docs, settings)).collect()}
+    for doc in docs.limit(80).collect():
+        s = langid.presence(doc.text or "", settings)
+        if not s.any():
+            assert found[doc.doc_id] == ("und", 0.0)
+            continue
+        f = np.array([kernel(s, m) for m in marks]) @ root @ beta
+        share = np.exp(4 * f) / np.exp(4 * f).sum()
+        assert found[doc.doc_id][0] == names[int(f.argmax())] and abs(found[doc.doc_id][1] - share.max()) < 1e-3
