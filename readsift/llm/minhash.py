@@ -34,7 +34,7 @@ K = BANDS * ROWS
 #: under it reaches the second (156 of 160 coordinates), with a probability of less than 1e-8 and 1e-10.
 SURELY_NOT, SURELY = SIMILARITY - 0.2, 0.975
 #: Rounds in which a bucket's members are paired with one of them; members of a block, and elements at once, after that.
-ROUNDS, BLOCK, COLUMNS = 2, 2048, 4096
+ROUNDS, BLOCK, COLUMNS = 2, 1024, 2048
 #: Elements of sets that throw darts at once.
 THROWERS = 1 << 20
 _ROUND = np.uint64(0x9E3779B97F4A7C15)
@@ -226,8 +226,12 @@ def _block_links(rows: pa.Table) -> pa.Table:
     a, b = [], []
     if len(left) and len(right):
         both = shared_elements([sets[x] for x in left], [sets[x] for x in right])
-        size = np.array([len(x) for x in sets])
-        linked = both >= SIMILARITY * (size[left][:, None] + size[right][None, :] - both)
+        size = np.array([len(x) for x in sets], np.float64)
+        least = size[left][:, None] + size[right][None, :]
+        least -= both
+        least *= SIMILARITY
+        linked = both >= least
+        del both, least, sets
         root = np.unique(comp, return_inverse=True)[1].reshape(-1)
         for x in np.flatnonzero(linked.any(1)):
             to = right[np.flatnonzero(linked[x])]
@@ -237,6 +241,7 @@ def _block_links(rows: pa.Table) -> pa.Table:
                 a += [int(comp[left[x]])] * int(new.sum())
                 b += comp[to[at[new]]].tolist()
                 root[np.isin(root, ends[new])] = root[left[x]]
+    release()
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
