@@ -34,8 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, with their number and the digests of ids and decoded bytes."""
-    decoded = bpe.decode(bpe.encode(docs))
-    return bpe.digest(decoded, ids=True)
+    return bpe.digest(bpe.round_trip(docs), ids=True)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secret_scan), ("mix", mix), ("tokens", tokens)]

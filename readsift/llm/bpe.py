@@ -24,19 +24,19 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
 from readsift.llm.common import cut, file_system, new_folder, release, slices
 
 #: Text of a block in bytes; a longer document is a block of its own.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Text of all blocks whose words go to one bucket, in bytes; there are so many buckets, or more.
 BUCKET_BYTES = 256 << 20
 #: Positions that are put together at once.
-POSITIONS = 1 << 20
+POSITIONS = 1 << 19
 PACKED = "block string, bucket int, body binary"
 #: Tokens that are decoded at once.
-TOKENS = 1 << 20
+TOKENS = 1 << 19
 
 
 def vocabulary(path: str | None = None, pattern: str | None = None) -> tuple[str, str]:
@@ -238,11 +238,13 @@ def _assemble(encoded: pa.Table, id_type: pa.DataType, folder: str) -> pa.Table:
         ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[take], pa.int32()))
         parts.append(pa.table([docs.slice(a, b - a), ids], schema=schema))
         a = b
+    release()
     return pa.concat_tables(parts)
 
 
-def encode(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Per row of ``docs``: doc_id and ``ids`` (array of int), as the public library encodes without special tokens.
+def encode(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", path: str | None = None, pattern: str | None = None, decoded: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id and ``ids`` (array of int), as the public library encodes without special tokens; with
+    ``decoded``, what ``decode`` makes of the ids as well, in the pass that puts them together.
 
     A null or empty text has no ids; repeated rows are answered one by one; other columns are ignored. The blocks' words
     are cut off in the shared folder, because blocks are named and made up as rows arrive. The number of buckets grows
@@ -259,7 +261,17 @@ def encode(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", path:
     encoded = words.repartition(n_buckets, "bucket").mapInArrow(partial(_encode_buckets, path=path), PACKED)
     schema = StructType().add("doc_id", kind).add("ids", ArrayType(IntegerType()))
     id_type = to_arrow_type(kind)
-    return encoded.groupBy("block").applyInArrow(lambda rows: _assemble(rows, id_type, folder), schema)
+
+    def assemble(rows: pa.Table) -> pa.Table:
+        found = _assemble(rows, id_type, folder)
+        return pa.Table.from_batches(_decode(iter(found.to_batches()), path), found.schema.append(pa.field("decoded", pa.binary()))) if decoded else found
+
+    return encoded.groupBy("block").applyInArrow(lambda rows: assemble(rows), schema.add("decoded", BinaryType()) if decoded else schema)
+
+
+def round_trip(docs: DataFrame, **options) -> DataFrame:
+    """Per row of ``docs``: doc_id, ids and decoded; ``decode(encode(docs))`` with one pass less."""
+    return encode(docs, decoded=True, **options)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -287,8 +299,6 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 def decode(encoded: DataFrame, *, path: str | None = None) -> DataFrame:
     """The rows with ``decoded`` (binary): the bytes of the tokens in ``ids``. Null ids give null, no ids give no bytes."""
-    from pyspark.sql.types import BinaryType, StructType
-
     schema = StructType([*encoded.schema.fields]).add("decoded", BinaryType())
     return encoded.mapInArrow(partial(_decode, path=vocabulary(path)[0]), schema)
 

@@ -51,7 +51,7 @@ def op8_substring(spark, sf_dir):
 
 
 def op9_bpe(spark, sf_dir):
-    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+    return bpe.digest(bpe.round_trip(table(spark, sf_dir, "documents")))
 
 
 def op10_minhash(spark, sf_dir):

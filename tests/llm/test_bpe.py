@@ -42,3 +42,9 @@ def test_blocks_of_one_document(spark, monkeypatch):
     got = {r.doc_id: list(r.ids) for r in bpe.encode(docs).collect()}
     enc = public(bpe.vocabulary())
     assert got == {1: enc.encode_ordinary("one two"), 2: enc.encode_ordinary("two three"), 3: []}
+
+
+def test_round_trip_is_decoded_encoding(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(spark.createDataFrame([(None, None, None, None, None), (-1, "", None, None, 0), (-1, "é\n\n  x", None, None, 6)], "doc_id long, text string, lang string, source string, n_chars long"))
+    once = sorted((repr(tuple(r)) for r in bpe.round_trip(docs).collect()))
+    assert once == sorted((repr(tuple(r)) for r in bpe.decode(bpe.encode(docs)).collect()))
