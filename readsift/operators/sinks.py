@@ -21,8 +21,9 @@ def short(x: Column) -> Column:
     parts = F.split(F.format_string("%.5e", finite), "e")
     power = parts[1].cast("int")
     bare = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    places = F.concat(F.lit("%."), (5 - power).cast("string"), F.lit("f"))
-    plain = bare(F.call_function("format_string", places, finite))
+    plain = F.lit(None).cast("string")
+    for places in range(10):  # halves go to the even digit
+        plain = F.when(power == 5 - places, bare(F.format_string(f"%.{places}f", F.bround(finite, places)))).otherwise(plain)
     said = F.when((power < -4) | (power >= 6), F.concat(bare(parts[0]), F.lit("e"), parts[1])).otherwise(plain)
     return F.when(x.isNull(), None).when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(said)
 

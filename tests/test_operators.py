@@ -264,7 +264,7 @@ def test_distributions_add_up():
 def test_short_numbers(spark):
     from readsift.operators.sinks import short
 
-    values = [0.0, 0.5, 1.0, -2.25, 0.123456789, 123456.4, 999999.6, 1234567.0, 0.0001, 0.00001234567, 1e20, 100.0, 12.0, float("nan"), None]
+    values = [0.0, 0.5, 1.0, -2.25, 0.123456789, 123456.4, 999999.6, 1234567.0, 0.0001, 0.00001234567, 0.01953125, 0.05859375, 1e20, 100.0, 12.0, float("nan"), None]
     got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(short(F.col("v"))).collect()]
     assert got == [None if v is None else "%.6g" % v for v in values]
 
