@@ -169,7 +169,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(wanted: DataFrame, docs: DataFrame, expected: int) -> DataFrame:
     """(doc, key, set) of the texts in ``wanted`` (doc): a bitmap of the ids, of bounded size, chooses them where texts are
     read, so that no other document is among them but by chance or for sharing an id."""
-    held = sketch.build(wanted.select(F.array(F.xxhash64("doc")).alias("keys")), "keys", sketch.width_bits(expected), 2, 1)
+    held = sketch.build(wanted.select(F.array(F.xxhash64("doc")).alias("keys")), "keys", expected, 2, 1)
     shared = docs.sparkSession.sparkContext.broadcast(held)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

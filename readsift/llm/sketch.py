@@ -12,12 +12,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from readsift.llm.rolling import scramble
 
 #: Places of a row: as many as keys are expected, times SPARE, but no more than MOST (16 MB of bits a row).
 LEAST_BITS, MOST_BITS, SPARE = 16, 27, 4
 BLOCKS_BITS = 6
+#: Values that one merge of all blocks takes; above it partitions are merged in groups first.
+KEYS_A_MERGE = 1 << 32
 _SALTS = np.random.default_rng(7).integers(0, 1 << 63, 8, dtype=np.uint64)
 
 
@@ -45,13 +48,17 @@ class Repeated:
         return found
 
 
-def build(keyed: DataFrame, column: str, bits: int, depth: int, threshold: int) -> Repeated:
+def build(keyed: DataFrame, column: str, expected: int, depth: int, threshold: int) -> Repeated:
     """The sketch of all values (arrays of long) in ``column`` of ``keyed``, each array counted once per value it holds.
 
-    What comes to the driver is ``depth * 2**bits`` bits, 48 MB at most with three rows.
+    ``expected`` is about how many values there are; it sets the width and the number of first merges. A block is merged as
+    its parts stream by, in one byte a place, and beyond KEYS_A_MERGE values first by groups of partitions, so that no task
+    holds or reads what grows with the input. What comes to the driver is ``depth * 2**bits`` bits, 48 MB at most with
+    three rows.
     """
     import zstandard
 
+    bits = width_bits(expected)
     block_bits = bits - BLOCKS_BITS
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,6 +70,9 @@ def build(keyed: DataFrame, column: str, bits: int, depth: int, threshold: int)
             rows, blocks, bodies = [], [], []
             for row in range(depth):
                 at = np.sort(places(keys, row, bits))
+                most = np.ones(len(at), bool)  # a place more often than the threshold says no more
+                most[threshold:] = at[threshold:] != at[:-threshold]
+                at = at[most]
                 cuts = np.searchsorted(at, np.arange((1 << BLOCKS_BITS) + 1, dtype=np.uint64) << np.uint64(block_bits))
                 for block in np.flatnonzero(np.diff(cuts)).tolist():
                     inner = (at[cuts[block] : cuts[block + 1]] & np.uint64((1 << block_bits) - 1)).astype("<u4")
@@ -82,19 +92,37 @@ def build(keyed: DataFrame, column: str, bits: int, depth: int, threshold: int)
         if held:
             yield out()
 
-    def merged(key, rows) -> pa.Table:
-        count = np.zeros(1 << block_bits, np.uint8)
-        for body in rows.column("body"):
-            raw = zstandard.ZstdDecompressor().decompress(body.as_py())
-            at, n = np.unique(np.cumsum(np.frombuffer(raw, "<u4"), dtype=np.int64), return_counts=True)
-            count[at] = np.minimum(threshold, count[at] + np.minimum(threshold, n)).astype(np.uint8)
-        set_ = np.packbits(count >= threshold).tobytes()
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([set_], pa.binary())], names=["row", "block", "body"])
+    def of_places(count: np.ndarray, raw: bytes) -> None:
+        at, n = np.unique(np.cumsum(np.frombuffer(raw, "<u4"), dtype=np.int64), return_counts=True)
+        count[at] = np.minimum(threshold, count[at] + np.minimum(threshold, n))
+
+    def of_planes(count: np.ndarray, raw: bytes) -> None:
+        planes = np.frombuffer(raw, np.uint8).reshape(threshold, -1)
+        count[:] = np.minimum(threshold, count + np.unpackbits(planes, axis=1).sum(axis=0, dtype=np.uint8))
+
+    def merge(add, first_plane: int):
+        """A group's counts as packed planes, of which plane c has the places counted c + 1 times or more."""
+
+        def merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            count = np.zeros(1 << block_bits, np.uint8)
+            for batch in batches:
+                for body in batch.column("body"):
+                    add(count, zstandard.ZstdDecompressor().decompress(body.as_py()))
+            planes = b"".join(np.packbits(count >= c).tobytes() for c in range(first_plane, threshold + 1))
+            ids = [pa.array([k.as_py()], pa.int32()) for k in key[:2]]
+            yield pa.record_batch([*ids, pa.array([zstandard.ZstdCompressor(level=1).compress(planes)], pa.binary())], names=["row", "block", "body"])
+
+        return merged
 
     schema = "row int, block int, body binary"
-    parts = keyed.select(column).mapInArrow(counted, schema).groupBy("row", "block").applyInArrow(lambda key, rows: merged(key, rows), schema)
+    parts = keyed.select(column).mapInArrow(counted, schema)
+    merges = 1 + expected // KEYS_A_MERGE
+    if merges > 1:
+        by_task = parts.withColumn("part", F.spark_partition_id() % merges)
+        parts = by_task.groupBy("row", "block", "part").applyInArrow(merge(of_places, 1), schema)
+    last = parts.groupBy("row", "block").applyInArrow(merge(of_planes if merges > 1 else of_places, threshold), schema)
     rows = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(depth)]
     step = 1 << (block_bits - 3)
-    for part in parts.collect():  # as many bytes as the sketch has, whatever the input
-        rows[part["row"]][part["block"] * step : (part["block"] + 1) * step] = np.frombuffer(part["body"], np.uint8)
+    for part in last.collect():  # no more bytes than the sketch has, whatever the input
+        rows[part["row"]][part["block"] * step : (part["block"] + 1) * step] = np.frombuffer(zstandard.ZstdDecompressor().decompress(part["body"]), np.uint8)
     return Repeated(bits, rows)

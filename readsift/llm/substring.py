@@ -115,8 +115,8 @@ def removed_words(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFr
                     yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pa.array(keys))], names=["keys"])
 
     length = whole.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
-    bits = sketch.width_bits(length // BYTES_PER_ANCHOR)
-    repeated = sketch.build(whole.select("text").mapInArrow(anchors, "keys array<bigint>"), "keys", bits, DEPTH, 2)
+    expected = length // BYTES_PER_ANCHOR
+    repeated = sketch.build(whole.select("text").mapInArrow(anchors, "keys array<bigint>"), "keys", expected, DEPTH, 2)
     shared = spark.sparkContext.broadcast(repeated)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +141,7 @@ def removed_words(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFr
             keys = np.concatenate([_head_key(kind.view(np.uint64), head), np.unique(_id_key(head))]).view(np.int64)
             yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pa.array(keys))], names=["keys"])
 
-    of_heads = spark.sparkContext.broadcast(sketch.build(mixed.mapInArrow(head_keys, "keys array<bigint>"), "keys", bits, 2, 1))
+    of_heads = spark.sparkContext.broadcast(sketch.build(mixed.mapInArrow(head_keys, "keys array<bigint>"), "keys", expected, 2, 1))
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named = (batch.filter(pa.array(of_heads.value(_id_key(_ids(batch))))) for batch in batches)
@@ -208,7 +208,7 @@ def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     gone = removed_words(given, size, gram).distinct().groupBy("doc_id", "print")
     gone = settled(gone.agg(F.collect_list(F.struct("start", "n")).alias("runs")))
     gone = gone.select(F.col("doc_id").alias("d"), F.col("print").alias("p"), F.col("runs.start").alias("starts"), F.col("runs.n").alias("lengths"))
-    losers = sketch.build(gone.select(F.array(F.xxhash64("d")).alias("keys")), "keys", sketch.width_bits(gone.count()), 2, 1)
+    losers = sketch.build(gone.select(F.array(F.xxhash64("d")).alias("keys")), "keys", gone.count(), 2, 1)
     shared = docs.sparkSession.sparkContext.broadcast(losers)
 
     def chosen(batches: Iterator[pa.RecordBatch], inside: bool) -> Iterator[pa.RecordBatch]:

@@ -54,7 +54,7 @@ def decide(pages: DataFrame, *, page_id="page_id", url="url", html="html") -> Da
     all_ = all_.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long")).withColumn("key", F.xxhash64("digest"))
     same = all_.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size")
     heads = cut(same.agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), F.col("size").alias("z"), "head"))
-    repeated = sketch.build(heads.select(F.array(F.xxhash64("d")).alias("keys")), "keys", sketch.width_bits(heads.count()), 2, 1)
+    repeated = sketch.build(heads.select(F.array(F.xxhash64("d")).alias("keys")), "keys", heads.count(), 2, 1)
     shared = pages.sparkSession.sparkContext.broadcast(repeated)
 
     def chosen(batches: Iterator[pa.RecordBatch], inside: bool) -> Iterator[pa.RecordBatch]:

@@ -74,6 +74,22 @@ def test_sketch_loses_nothing(spark):
     assert twice[2000:3000].all() and twice[100:200].all() and twice.mean() < 0.4
 
 
+@pytest.mark.parametrize("threshold", [1, 2, 3])
+def test_sketch_merged_in_groups_has_the_same_bits(spark, monkeypatch, threshold):
+    r = random.Random(5)
+    rows = [([r.randrange(400) for _ in range(r.randint(0, 30))],) for _ in range(120)]
+    frame = spark.createDataFrame(rows, "keys array<bigint>").repartition(9)
+    at_once = sketch.build(frame, "keys", 2000, 3, threshold)
+    monkeypatch.setattr(sketch, "KEYS_A_MERGE", 500)
+    in_groups = sketch.build(frame, "keys", 2000, 3, threshold)
+    count = np.bincount([k for keys, in rows for k in keys], minlength=500)
+    for row in range(3):
+        assert (at_once.rows[row] == in_groups.rows[row]).all()
+        at = sketch.places(np.arange(500, dtype=np.uint64), row, at_once.bits).astype(np.int64)
+        want = np.bincount(at, weights=count, minlength=1 << at_once.bits) >= threshold
+        assert (np.unpackbits(at_once.rows[row]).astype(bool) == want).all()
+
+
 def test_sliding_min():
     x = np.random.default_rng(2).integers(0, 1 << 60, 300, dtype=np.uint64)
     for size in (1, 2, 3, 43, 64, 300):
