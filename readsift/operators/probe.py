@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from readsift.operators.index import IndexModel
 
-#: Hashes up to which an index is broadcast, about 300 MB.
+#: Hashes up to which an index is broadcast to the workers of a stream, about 300 MB in each.
 MOST_LOCAL = 20_000_000
+#: The same for tables, where a larger index is joined instead: about 50 MB in each worker, 100 MB on the driver.
+MOST_BROADCAST = 4_000_000
 PATTERNS = "array<struct<bins:array<int>,n:bigint>>"
 
 
@@ -108,19 +110,21 @@ def by_filter(reads: DataFrame, index: IndexModel) -> DataFrame:
 def by_broadcast(reads: DataFrame, index: IndexModel) -> DataFrame:
     """The probe without a shuffle: a sorted array of hashes on every executor, searched per batch.
 
-    Only for an index of at most MOST_LOCAL hashes; a larger one is an error, and ``by_join`` the way. Stateless, so it
-    also serves streams.
+    An index of more than MOST_BROADCAST hashes is joined, which gives the same rows, so the size of the index is counted
+    first. A stream can't be joined; its index is broadcast up to MOST_LOCAL hashes, and a larger one is an error.
     """
-    rows = index.by_hash().limit(MOST_LOCAL + 1).toArrow()  # the index is computed once, and no more than the bound arrives
-    if rows.num_rows > MOST_LOCAL:
-        raise ValueError(f"an index of more than {MOST_LOCAL} hashes is not broadcast; use the join")
+    size = index.hashes.select("h").distinct().count()
+    if not reads.isStreaming and size > MOST_BROADCAST:
+        return _joined(reads, by_join(reads, index))
+    if size > MOST_LOCAL:
+        raise ValueError(f"an index of more than {MOST_LOCAL} hashes is not broadcast to a stream")
+    rows = index.by_hash().select("h", F.concat_ws(",", F.col("bins").cast("array<string>")).alias("bins")).toArrow()
     h = rows.column("h").to_numpy()
+    coded = rows.column("bins").combine_chunks().dictionary_encode()  # few kinds of bins, and no list a hash
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    kinds = [tuple(map(int, x.split(","))) for x in coded.dictionary.to_pylist()]
     order = np.argsort(h)
-    lists = rows.column("bins").to_pylist()
-    kinds = sorted({tuple(x) for x in lists})
-    number = {k: i for i, k in enumerate(kinds)}
-    kind = np.array([number[tuple(x)] for x in lists], np.int32)[order] if len(lists) else np.zeros(0, np.int32)
-    shared = reads.sparkSession.sparkContext.broadcast((h[order], kind, kinds))
+    shared = reads.sparkSession.sparkContext.broadcast((h[order], coded.indices.to_numpy()[order], kinds))
     from pyspark.sql.types import LongType, StructType
 
     schema = StructType([f for f in reads.schema.fields if f.name != "minimisers"]).add("num_hashes", LongType())
@@ -151,6 +155,9 @@ def hits(reads: DataFrame, index: IndexModel, how: str = "join") -> DataFrame:
     """reads, minus their minimisers, plus num_hashes and patterns; reads without hashes stay."""
     if how == "local":
         return by_broadcast(reads, index)
-    found = (by_filter if how == "bloom" else by_join)(reads, index)
+    return _joined(reads, (by_filter if how == "bloom" else by_join)(reads, index))
+
+
+def _joined(reads: DataFrame, found: DataFrame) -> DataFrame:
     joined = reads.drop("minimisers").join(found, "read_ord", "left")
     return joined.withColumn("num_hashes", F.coalesce("num_hashes", F.lit(0).cast("long"))).withColumn("patterns", F.coalesce("patterns", F.array().cast(PATTERNS)))
