@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,22 +19,31 @@ def assignments(called: DataFrame, categories: list[str]) -> DataFrame:
 
 
 def short(x: Column) -> Column:
-    """A number with six significant digits at most: no trailing zeros, an exponent below -4 and from 6 on."""
-    finite = F.when(F.abs(x) < float("inf"), x).otherwise(0.0)
-    parts = F.split(F.format_string("%.5e", finite), "e")
-    power = parts[1].cast("int")
-    bare = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    plain = F.lit(None).cast("string")
-    for places in range(10):  # halves go to the even digit
-        plain = F.when(power == 5 - places, bare(F.format_string(f"%.{places}f", F.bround(finite, places)))).otherwise(plain)
-    said = F.when((power < -4) | (power >= 6), F.concat(bare(parts[0]), F.lit("e"), parts[1])).otherwise(plain)
-    return F.when(x.isNull(), None).when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(said)
+    """A number with six significant digits at most: no trailing zeros, an exponent below -4 and
+    from 6 on.
+
+    It is the exact binary value that is rounded, halves to the even digit. SQL rounds the shortest decimal of a value, which
+    may be a half where the value is none, so batches pass through Arrow.
+    """
+    return F.arrow_udf(_short, "array<string>")(F.array(x))[0]
+
+
+def _short(lists: pa.Array) -> pa.Array:
+    said = pa.array([None if v is None else "%.6g" % v for v in lists.flatten().to_pylist()], pa.string())
+    return pa.ListArray.from_arrays(pa.array(_offsets(lists)), said)
+
+
+def _offsets(lists: pa.Array) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
 
 
 def assignment_text(rows: DataFrame) -> DataFrame:
     """The rows as lines of tab-separated text, numbers with six significant digits."""
-    said = F.transform("details", lambda d: F.concat(F.concat_ws(":", d["category"], d["count"], short(d["prop"]), short(d["unique_prop"]), short(d["probability"])), F.lit(" ")))
-    line = F.concat_ws("\t", "status", "read_id", F.coalesce("call", F.lit("")), "length", "num_hashes", short(F.col("mean_quality")), "confidence", short(F.coalesce("compression", F.lit(0.0))), F.array_join(said, ""))
+    numbers = F.concat(F.array("mean_quality", F.coalesce("compression", F.lit(0.0))), F.flatten(F.transform("details", lambda d: F.array(d["prop"], d["unique_prop"], d["probability"]))))
+    rows = rows.withColumn("__said", F.arrow_udf(_short, "array<string>").asNondeterministic()(numbers))  # all of a line in one pass
+    at = lambda i, j: F.get("__said", 3 * i + j)
+    said = F.transform("details", lambda d, i: F.concat(F.concat_ws(":", d["category"], d["count"], at(i, 2), at(i, 3), at(i, 4)), F.lit(" ")))
+    line = F.concat_ws("\t", "status", "read_id", F.coalesce("call", F.lit("")), "length", "num_hashes", F.get("__said", F.lit(0)), "confidence", F.get("__said", F.lit(1)), F.array_join(said, ""))
     return rows.select(line.alias("value"))
 
 

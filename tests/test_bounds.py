@@ -35,3 +35,9 @@ def test_a_large_index_is_joined(world, monkeypatch):
     monkeypatch.setattr(probe, "MOST_LOCAL", 10)
     monkeypatch.setattr(probe, "MOST_BROADCAST", 10, raising=False)
     assert patterns(model, reads, "local") == patterns(model, reads, "join")
+
+
+def test_numbers_round_their_exact_value(spark):
+    values = [k / n for n in (640, 1280, 3200) for k in range(1, n)]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i")
+    assert [r[0] for r in rows.select(short(F.col("v"))).collect()] == ["%.6g" % v for v in values]
