@@ -22,20 +22,37 @@ _RANK[[ord("U"), ord("u")]] = LETTERS.index(b"T")
 _TURNED = np.array([LETTERS.index(c) for c in COMPLEMENT], np.uint8)
 
 
+#: Places that are hashed at once, so that what is held beside the result fits a cache.
+STEP = 1 << 15
+
+
 def kmer_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k-mers of a byte array (also across reads; the caller knows which to use)."""
-    n = len(data) - k + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    forward, backward = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    n = max(0, len(data) - k + 1)
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, STEP):
+        out[a : a + STEP] = _hashes(data[a : a + STEP + k - 1], k)
+    return out
+
+
+def _hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """The same of a short array: numbers of 1, 2, 4 ... digits, and k digits from those of the bits of k."""
     rank = _RANK[data]
-    turned = _TURNED[rank].astype(np.uint64)
-    rank = rank.astype(np.uint64)
-    five = np.uint64(5)
-    for i in range(k):
-        forward = forward * five + rank[i : i + n]
-        backward = backward * five + turned[k - 1 - i : k - 1 - i + n]
-    return np.minimum(forward ^ np.uint64(SEED), backward ^ np.uint64(SEED))
+    forward, backward = rank.astype(np.uint64), _TURNED[rank].astype(np.uint64)
+    power = lambda m: np.uint64(5**m)
+    held, m = 0, 1
+    while m <= k:
+        if k & m:
+            n = len(forward) - held
+            if held:
+                f, r = f[:n] * power(m) + forward[held:], r[:n] + backward[held:] * power(held)
+            else:
+                f, r = forward, backward
+            held += m
+        if 2 * m <= k:
+            forward, backward = forward[:-m] * power(m) + forward[m:], backward[:-m] + backward[m:] * power(m)
+        m *= 2
+    return np.minimum(f ^ np.uint64(SEED), r ^ np.uint64(SEED))
 
 
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:

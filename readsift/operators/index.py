@@ -6,13 +6,14 @@ import json
 import uuid
 from dataclasses import asdict, dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readsift.config import IndexSettings
-from readsift.functions import stats
-from readsift.operators.minimiser import minimisers
+from readsift.functions import kernel, memory, stats
+from readsift.operators.minimiser import minimisers  # noqa: F401
 
 #: Bases of a piece of a long reference; pieces overlap so that no window is lost.
 PIECE = 1 << 20
@@ -51,39 +52,51 @@ class IndexModel:
         return self.hashes.groupBy("h").agg(F.array_sort(F.collect_set("bin")).alias("bins"))
 
 
+#: Bases of short pieces that stand in one batch.
+HELD = 1 << 18
+
+
+def _cut(batches, window: int, size: int):
+    """Lists of (bin, piece) of HELD bases and one piece at most; a sequence is gone through once and held once."""
+    held, n = [], 0
+    for batch in batches:
+        for bin_, seq in zip(batch.column("bin"), batch.column("seq")):
+            raw = seq.as_buffer() if seq.is_valid else b""
+            for a in range(0, max(1, len(raw) - (window - 1)), size):
+                held.append((bin_.as_py(), bytes(raw[a : a + size + window - 1])))
+                n += len(held[-1][1]) + 64  # an empty sequence is not for nothing
+                if n >= HELD:
+                    yield held
+                    held, n = [], 0
+    if held:
+        yield held
+
+
 def pieces(refs: DataFrame, window: int, size: int = PIECE) -> DataFrame:
-    """(bin, seq) with long sequences cut into overlapping pieces, whose windows together are those of the whole; a sequence
-    is gone through once. Sequences are ASCII."""
+    """(bin, seq) with long sequences cut into overlapping pieces, whose windows together are those of the whole. Sequences
+    are ASCII."""
 
     def cut(batches):
-        for batch in batches:
-            for bin_, seq in zip(batch.column("bin"), batch.column("seq")):
-                raw = seq.as_buffer() if seq.is_valid else b""
-                for a in range(0, max(1, len(raw) - (window - 1)), size):  # one batch a piece: the sequence itself is held once
-                    piece = bytes(raw[a : a + size + window - 1]).decode()
-                    if len(raw) <= size:
-                        held.append((bin_.as_py(), piece))
-                    else:
-                        yield pa.record_batch([pa.array([bin_.as_py()], pa.int32()), pa.array([piece], pa.string())], names=["bin", "seq"])
-                if len(held) >= 1024:
-                    yield small()
-            if held:
-                yield small()
-
-    held: list[tuple[int, str]] = []
-
-    def small():
-        out = pa.record_batch([pa.array([b for b, _ in held], pa.int32()), pa.array([s for _, s in held], pa.string())], names=["bin", "seq"])
-        held.clear()
-        return out
+        for held in _cut(batches, window, size):
+            yield pa.record_batch([pa.array([b for b, _ in held], pa.int32()), pa.array([s.decode() for _, s in held], pa.string())], names=["bin", "seq"])
+        memory.release()
 
     return refs.select(F.col("bin").cast("int").alias("bin"), "seq").mapInArrow(cut, "bin int, seq string")
 
 
 def distinct_hashes(refs: DataFrame, settings: IndexSettings) -> DataFrame:
-    """(bin, h) without repetitions: sets per piece first, so that little is shuffled."""
-    found = pieces(refs, settings.window_size).select("bin", minimisers(F.col("seq"), settings.kmer_size, settings.window_size, "distinct").alias("m"))
-    return found.select("bin", F.explode("m").alias("h")).distinct()
+    """(bin, h) without repetitions: sets per piece first, so that little is shuffled. Pieces are cut and hashed in one pass
+    of a worker, so that no sequence goes there twice."""
+    k, w = settings.kmer_size, settings.window_size
+
+    def hashed(batches):
+        for held in _cut(batches, w, PIECE):
+            owner, value = kernel.minimisers([s for _, s in held], k, w, "distinct")
+            bins = np.array([b for b, _ in held], np.int32)[owner]
+            yield pa.record_batch([pa.array(bins), pa.array(value)], names=["bin", "h"])
+        memory.release()
+
+    return refs.select(F.col("bin").cast("int").alias("bin"), "seq").mapInArrow(hashed, "bin int, h long").distinct()
 
 
 def bin_stats(bins: DataFrame, refs: DataFrame, hashes: DataFrame) -> DataFrame:

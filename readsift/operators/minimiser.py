@@ -6,27 +6,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readsift.functions import kernel
+from readsift.functions import kernel, memory
 
-#: Bases that the kernel holds at once.
-BASES = 4 << 20
+#: Bases that the kernel holds at once: 8 bytes each, several times over. Exact emission steps through all reads together,
+#: so that more of them cost less.
+BASES = {"distinct": 1 << 18, "exact": 1 << 21}
 
 
 def _lists(seqs: pa.Array, k: int, w: int, emission: str) -> pa.Array:
     import numpy as np
 
-    reads = [(s or "").encode() for s in seqs.to_pylist()]
-    parts, a = [], 0
-    while a < len(reads):
-        b, held = a, 0
-        while b < len(reads) and (b == a or held + len(reads[b]) <= BASES):
-            held += len(reads[b])
-            b += 1
-        owner, value = kernel.minimisers(reads[a:b], k, w, emission)
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=b - a))]).astype(np.int32)
+    parts = []
+    for _, reads in memory.runs(seqs, BASES[emission]):
+        owner, value = kernel.minimisers(reads, k, w, emission)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(reads)))]).astype(np.int32)
         parts.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(value)))
-        a = b
-    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
+    out = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
+    del parts
+    memory.release()
+    return out
 
 
 def minimisers(seq: Column, k: int = 19, w: int = 41, emission: str = "exact") -> Column:

@@ -72,11 +72,11 @@ def read_prior(path: str) -> dict[str, list[float]]:
     return held
 
 
-def moments(sample: DataFrame) -> DataFrame:
-    """n, mean and variance of each category and side, and the mean and mean logarithm of the values above 0."""
+def moments(sample: DataFrame, *more: Column) -> DataFrame:
+    """n, mean and variance of each category and side, and the mean and mean logarithm of the values above 0; ``more`` of them."""
     above = F.when(F.col("value") > 0, F.col("value"))
     return sample.groupBy("category_idx", "side").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.avg(above).alias("mean_above"), F.avg(F.ln(above)).alias("mean_log"), F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("variance")
+        F.count("*").alias("n"), F.avg("value").alias("mean"), F.avg(above).alias("mean_above"), F.avg(F.ln(above)).alias("mean_log"), F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("variance"), *more
     )
 
 
@@ -94,16 +94,14 @@ def fit(sample: DataFrame, categories: int, dist: str, n: int, kde: str | None =
     models = [prior(dist, kde) for _ in range(categories)]
     shape, scale = stats.gamma_fit(F.col("mean_above"), F.col("mean_log"))
     alpha, beta = stats.beta_fit(F.col("mean"), F.col("variance"))
-    rows = {(r["category_idx"], r["side"]): r for r in moments(sample).select("*", shape.alias("shape"), scale.alias("scale"), alpha.alias("alpha"), beta.alias("beta")).collect()}
-    if dist == "kde":
-        lists = sample.groupBy("category_idx", "side").agg(F.array_sort(F.collect_list("value")).alias("values")).collect()
-        values = {(r["category_idx"], r["side"]): r["values"] for r in lists}
+    more = [F.array_sort(F.collect_list("value")).alias("values")] if dist == "kde" else []  # the sample is computed once
+    rows = {(r["category_idx"], r["side"]): r for r in moments(sample, *more).select("*", shape.alias("shape"), scale.alias("scale"), alpha.alias("alpha"), beta.alias("beta")).collect()}
     for i, model in enumerate(models):
         for side in ("pos", "neg"):
             row = rows.get((i, side))
             full = row is not None and row["n"] >= n
             if dist == "kde" and full:
-                model[side] = Side(dist, (), values[i, side], KDE[side][3])
+                model[side] = Side(dist, (), row["values"], KDE[side][3])
             elif dist == "beta" and full and row["alpha"] is not None:
                 model[side] = Side(dist, (row["alpha"], row["beta"]))
             elif dist == "gamma" and full and row["scale"]:
@@ -117,14 +115,14 @@ def fit(sample: DataFrame, categories: int, dist: str, n: int, kde: str | None =
 def probabilities(scored: DataFrame, models: list[Model]) -> DataFrame:
     """The rows with probabilities by category: the share of the positive density in the sum of error, positive and
     negative densities, where the positive one is 1 at a proportion of 1. 0 for reads without hashes."""
-    names = [f"__p{i}" for i in range(len(models))]
-    for i, (name, model) in enumerate(zip(names, models)):
-        scored = scored.withColumn("__x", F.when(F.col("num_hashes") > 0, F.col("unique_props")[i]).otherwise(0.0))
-        positive = F.when(F.col("__x") == 1, 1.0).otherwise(model["pos"].density(F.col("__x")))
-        scored = scored.withColumn("__pos", positive).withColumn("__neg", model["neg"].density(F.col("__x")))
-        total = stats.error_density(F.col("__x")) + F.col("__pos") + F.col("__neg")
-        scored = scored.withColumn(name, F.when(F.col("num_hashes") > 0, F.col("__pos") / total).otherwise(0.0)).drop("__x", "__pos", "__neg")
-    return once(scored, "probabilities", F.array(*names)).drop(*names)
+    each = range(len(models))
+    x, pos, neg = ([F.col(f"__{name}{i}") for i in each] for name in ("x", "pos", "neg"))
+    out = scored.withColumns({f"__x{i}": F.when(F.col("num_hashes") > 0, F.col("unique_props")[i]).otherwise(0.0) for i in each})
+    # all densities stand in one projection, so that those in Python are one pass of one worker
+    positive = {f"__pos{i}": F.when(x[i] == 1, 1.0).otherwise(models[i]["pos"].density(x[i])) for i in each}
+    out = out.withColumns(positive | {f"__neg{i}": models[i]["neg"].density(x[i]) for i in each})
+    share = lambda i: F.when(F.col("num_hashes") > 0, pos[i] / (stats.error_density(x[i]) + pos[i] + neg[i])).otherwise(0.0)
+    return once(out.withColumns({f"__p{i}": share(i) for i in each}), "probabilities", F.array(*(f"__p{i}" for i in each))).drop(*(f"__{name}{i}" for name in ("x", "pos", "neg", "p") for i in each))
 
 
 def parameters(models: list[Model]) -> list[tuple]:

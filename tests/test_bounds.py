@@ -30,6 +30,33 @@ def patterns(model, reads, how):
     return sorted((r.read_ord, r.num_hashes, sorted((tuple(p.bins), p.n) for p in r.patterns)) for r in rows)
 
 
+@pytest.mark.parametrize("emission", ["distinct", "exact"])
+def test_a_batch_of_reads_takes_little_memory(emission):
+    r = random.Random(1)
+    text = "".join(r.choice("ACGT") for _ in range(3_000))
+    batch = pa.array([text[i % 1000 :] for i in range(3_200)])  # 8 million bases
+    tracemalloc.start()
+    try:
+        minimiser._lists(batch, 19, 41, emission)
+        assert tracemalloc.get_traced_memory()[1] < 120e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_pieces_held_at_once_are_bounded_by_bytes():
+    batch = pa.record_batch([pa.array([0] * 300, pa.int32()), pa.array(["A" * 100_000] * 300)], names=["bin", "seq"])
+    held = [sum(len(s) for _, s in x) for x in index._cut([batch], 41, index.PIECE)]
+    assert sum(held) == 30_000_000 and max(held) <= index.HELD + 100_000
+
+
+def test_text_as_bases(spark):
+    texts = ["", None, "Abc z!", "\u0130\u212a\u00e9\u4e2d\U0001f600 x", "123"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    plain = F.translate(F.regexp_replace(F.lower("t"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
+    found = rows.select(text_as_bases(F.col("t")).alias("x"), plain.alias("y")).collect()
+    assert [r.x for r in found] == [r.y for r in found]
+
+
 def test_a_large_index_is_joined(world, monkeypatch):
     model, reads = world
     monkeypatch.setattr(probe, "MOST_LOCAL", 10)
