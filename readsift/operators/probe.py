@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readsift.functions import memory
 from readsift.operators.index import IndexModel
 
 #: Hashes up to which an index is broadcast to the workers of a stream, about 300 MB in each.
@@ -43,25 +44,43 @@ def by_join(reads: DataFrame, index: IndexModel) -> DataFrame:
 BLOCK_BITS = 1 << 13
 
 
-def filter_blocks(index: IndexModel) -> DataFrame:
+#: Blocks times bins of a slab, which is built and probed at once: 16 MB when each bit is a byte, 2 MB packed.
+SLAB = 1 << 11
+
+
+def _slab(index: IndexModel) -> int:
+    """Blocks of a slab."""
+    return max(1, SLAB // max(1, len(index.bin_rows())))
+
+
+def filter_blocks(index: IndexModel, n: int | None = None) -> DataFrame:
     """block, bins, bits: the filters of all bins, block by block; a row holds BLOCK_BITS bits for every bin with a hash there.
 
     Every bin has places for the largest bin at ``max_fpr``, so that a smaller bin errs less; no hit is lost. This table
-    can be stored and probed instead of the hashes.
+    can be stored and probed instead of the hashes. A call of Python builds a slab of blocks.
     """
-    s, n = index.settings, _blocks(index)
+    num_hash, n = index.settings.num_hash, n or _blocks(index)
 
     def build(rows: pa.Table) -> pa.Table:
-        bin_, h = rows.column("bin").to_numpy(), rows.column("h").to_numpy()
-        names, row = np.unique(bin_, return_inverse=True)
-        bits = np.zeros((len(names), BLOCK_BITS), np.uint8)
-        for i in range(s.num_hash):
-            bits[row, _place(h, i)] = 1
-        packed = np.packbits(bits, axis=1).tobytes()
-        return pa.table([rows.column("block").slice(0, 1), pa.array([names.tolist()], pa.list_(pa.int32())), pa.array([packed], pa.binary())], names=["block", "bins", "bits"])
+        h = rows.column("h").to_numpy()
+        keys, row = np.unique(rows.column("block").to_numpy() << 32 | rows.column("bin").to_numpy(), return_inverse=True)
+        packed = np.empty((len(keys), BLOCK_BITS // 8), np.uint8)
+        order = np.argsort(row, kind="stable")
+        edges = np.searchsorted(row[order], np.arange(0, len(keys) + SLAB, SLAB))
+        for a, low, high in zip(range(0, len(keys), SLAB), edges, edges[1:]):  # blocks overfull with bins are more than one round
+            bits = np.zeros((min(SLAB, len(keys) - a), BLOCK_BITS), np.uint8)
+            for i in range(num_hash):
+                bits[row[order[low:high]] - a, _place(h[order[low:high]], i)] = 1
+            packed[a : a + SLAB] = np.packbits(bits, axis=1)
+        blocks, first = np.unique(keys >> 32, return_index=True)
+        at = np.append(first, len(keys)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(at), pa.array((keys & 0xFFFFFFFF).astype(np.int32)))
+        flat = [packed[x:y].tobytes() for x, y in zip(at, at[1:])]
+        memory.release()
+        return pa.table([pa.array(blocks), lists, pa.array(flat, pa.binary())], names=["block", "bins", "bits"])
 
-    keyed = index.hashes.select(_block(n).alias("block"), "bin", "h")
-    return keyed.groupBy("block").applyInArrow(lambda rows: build(rows), "block long, bins array<int>, bits binary")
+    keyed = index.hashes.select(_block(n).alias("block"), F.col("bin").cast("long").alias("bin"), "h")
+    return keyed.groupBy((F.col("block") / _slab(index)).cast("long").alias("slab")).applyInArrow(lambda rows: build(rows), "block long, bins array<int>, bits binary")
 
 
 def _blocks(index: IndexModel) -> int:
@@ -82,28 +101,88 @@ def _place(h: np.ndarray, i: int) -> np.ndarray:
     return (x >> np.uint64(64 - 13)).astype(np.int64)
 
 
+class _Slab:
+    """The blocks of one slab, and the test of hashes against them."""
+
+    def __init__(self):
+        self.block, self.bins, self.bits = [], [], []
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.block += rows.column("block").to_pylist()
+        self.bins += rows.column("bins").to_pylist()
+        self.bits += rows.column("bits").to_pylist()
+
+    def ready(self) -> None:
+        if isinstance(self.block, list):
+            order = np.argsort(np.array(self.block, np.int64))
+            self.block = np.array(self.block, np.int64)[order]
+            self.size = np.array([len(self.bins[i]) for i in order], np.int64)
+            self.start = np.cumsum(self.size) - self.size
+            self.names = np.array([x for i in order for x in self.bins[i]], np.int32)
+            self.rows = np.frombuffer(b"".join(self.bits[i] for i in order), np.uint8).reshape(len(self.names), BLOCK_BITS // 8)
+            self.bins = self.bits = None
+
+    def test(self, h: np.ndarray, block: np.ndarray, num_hash: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the hash, bin) of all hits, by place and bin."""
+        self.ready()
+        if not len(self.block):
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        at = np.minimum(np.searchsorted(self.block, block), len(self.block) - 1)
+        size = np.where(self.block[at] == block, self.size[at], 0)
+        places = [_place(h, i) for i in range(num_hash)]
+        which, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for j in range(int(size.max(initial=0))):
+            mine = np.flatnonzero(size > j)
+            row = self.start[at[mine]] + j
+            for p in places:  # the few that are left after each place
+                hit = (self.rows[row, p[mine] >> 3] >> (7 - (p[mine] & 7)).astype(np.uint8)) & 1 > 0
+                mine, row = mine[hit], row[hit]
+            which.append(mine)
+            found.append(row)
+        which, found = np.concatenate(which), np.concatenate(found)
+        order = np.argsort(which, kind="stable")
+        return which[order], self.names[found[order]]
+
+
 def by_filter(reads: DataFrame, index: IndexModel) -> DataFrame:
     """The probe with filters in place of exact sets: a hash seems to be in a bin if all its places are set. Each distinct
-    hash of the reads meets its block once."""
-    num_hash, n = index.settings.num_hash, _blocks(index)
-
-    def test(left: pa.Table, right: pa.Table) -> pa.Table:
-        h = left.column("h").to_numpy()
-        bins = np.array(right.column("bins")[0].as_py() if right.num_rows else [], np.int32)
-        found = np.zeros((len(bins), len(h)), bool)
-        if len(bins):
-            bits = np.frombuffer(right.column("bits")[0].as_py(), np.uint8).reshape(len(bins), -1)
-            found[:] = True
-            for i in range(num_hash):
-                at = _place(h, i)
-                found &= (bits[:, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-        some = np.flatnonzero(found.any(0))
-        row, column = np.nonzero(found[:, some].T)
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(some)))]).astype(np.int32)
-        return pa.table([pa.array(h[some]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bins[column], pa.int32()))], names=["h", "bins"])
+    hash of the reads meets its block once.
 
+    Slabs and the hashes that they answer stand in one sorted partition and stream by, so a worker holds one slab and one
+    batch whatever the sizes. Few slabs are repeated, each for a part of the hashes, so that no task has all of them.
+    """
+    num_hash, n, slab = index.settings.num_hash, _blocks(index), _slab(index)
+    tasks = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-tasks // -(-n // slab)))
+    names = ["slab", "part", "kind", "block", "h", "bins", "bits"]
+
+    def probed(batches):
+        held, now = _Slab(), None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names[:3]], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if now != tuple(key[a, :2]):
+                    held, now = _Slab(), tuple(key[a, :2])
+                rows = batch.slice(a, b - a)
+                if key[a, 2] == 0:
+                    held.add(rows)
+                    continue
+                h = rows.column("h").to_numpy()
+                which, bins = held.test(h, rows.column("block").to_numpy(), num_hash)
+                some, size = np.unique(which, return_counts=True)
+                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                yield pa.record_batch([pa.array(h[some]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bins, pa.int32()))], names=["h", "bins"])
+        memory.release()
+
+    of = (F.col("block") / slab).cast("long").alias("slab")
     wanted = reads.select(F.explode("minimisers").alias("h")).distinct().select(_block(n).alias("block"), "h")
-    by_hash = wanted.groupBy("block").cogroup(filter_blocks(index).groupBy("block")).applyInArrow(lambda left, right: test(left, right), "h long, bins array<int>")
+    hashes = wanted.select(of, F.pmod(F.xxhash64("h", F.lit(1)), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "block", "h", F.lit(None).cast("array<int>").alias("bins"), F.lit(None).cast("binary").alias("bits"))
+    slabs = filter_blocks(index, n).select(of, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), "block", F.lit(0).cast("long").alias("h"), "bins", "bits")
+    dealt = slabs.unionByName(hashes).repartition(tasks, "slab", "part").sortWithinPartitions("slab", "part", "kind")
+    by_hash = dealt.select(*names).mapInArrow(probed, "h long, bins array<int>")
     return _gather(reads.select("read_ord", F.explode("minimisers").alias("h")).join(by_hash, "h", "left"))
 
 

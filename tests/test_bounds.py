@@ -68,3 +68,13 @@ def test_numbers_round_their_exact_value(spark):
     values = [k / n for n in (640, 1280, 3200) for k in range(1, n)]
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i")
     assert [r[0] for r in rows.select(short(F.col("v"))).collect()] == ["%.6g" % v for v in values]
+
+
+def test_a_filter_is_probed_by_slabs_of_blocks(world, monkeypatch):
+    model, reads = world
+    assert probe._blocks(model) > 1
+    whole = patterns(model, reads, "bloom")
+    assert "CoGroup" not in probe.by_filter(reads, model)._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(probe, "SLAB", 1)
+    assert patterns(model, reads, "bloom") == whole
+    assert all(a[1] == b[1] and sum(n for _, n in a[2]) >= sum(n for _, n in b[2]) for a, b in zip(whole, patterns(model, reads, "join")))
