@@ -7,6 +7,7 @@ the markup names (en, de, es, fr, other).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -241,7 +242,7 @@ def _trained(dist):
 
     def query(spark, sf_dir):
         settings = DehostSettings(dist=dist, emission="distinct", training="first_n", num_reads_to_fit=TO_FIT)
-        rows = pipeline.score(reads(spark, sf_dir), index(spark, sf_dir), settings)
+        rows = pipeline.score(reads(spark, sf_dir), index(spark, sf_dir), settings).persist(StorageLevel.DISK_ONLY)  # read twice
         rows = models.probabilities(rows, pipeline.fitted(rows, len(set(BINARY)), settings))
         return rows.select("read_ord", F.posexplode_outer("probabilities").alias("category_idx", "p")).select("read_ord", "category_idx", F.round("p", 5).alias("probability"))
 

@@ -78,3 +78,11 @@ def test_a_filter_is_probed_by_slabs_of_blocks(world, monkeypatch):
     monkeypatch.setattr(probe, "SLAB", 1)
     assert patterns(model, reads, "bloom") == whole
     assert all(a[1] == b[1] and sum(n for _, n in a[2]) >= sum(n for _, n in b[2]) for a, b in zip(whole, patterns(model, reads, "join")))
+
+
+def test_models_are_fitted_in_one_pass(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, 0, "pos", i / 50) for i in range(40)], "read_ord long, category_idx int, side string, value double")
+    calls, collect = [], type(frame).collect
+    monkeypatch.setattr(type(frame), "collect", lambda self: calls.append(1) or collect(self))
+    fitted = models.fit(frame, 1, "kde", 40)
+    assert len(calls) == 1 and fitted[0]["pos"].sample == [i / 50 for i in range(40)]
