@@ -109,8 +109,10 @@ class _Slab:
 
     def add(self, rows: pa.RecordBatch) -> None:
         self.block += rows.column("block").to_pylist()
-        self.bins += rows.column("bins").to_pylist()
-        self.bits += rows.column("bits").to_pylist()
+        for body in rows.column("body").to_pylist():
+            bins, _, bits = body.partition(b":")
+            self.bins.append([int(b) for b in bins.split(b",")])
+            self.bits.append(bits)
 
     def ready(self) -> None:
         if isinstance(self.block, list):
@@ -154,20 +156,19 @@ def by_filter(reads: DataFrame, index: IndexModel) -> DataFrame:
     num_hash, n, slab = index.settings.num_hash, _blocks(index), _slab(index)
     tasks = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, -(-tasks // -(-n // slab)))
-    names = ["slab", "part", "kind", "block", "h", "bins", "bits"]
 
     def probed(batches):
         held, now = _Slab(), None
         for batch in batches:
-            key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names[:3]], 1)
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            key = batch.column("key").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
                     continue
-                if now != tuple(key[a, :2]):
-                    held, now = _Slab(), tuple(key[a, :2])
+                if now != key[a] >> 1:
+                    held, now = _Slab(), key[a] >> 1
                 rows = batch.slice(a, b - a)
-                if key[a, 2] == 0:
+                if key[a] & 1 == 0:
                     held.add(rows)
                     continue
                 h = rows.column("h").to_numpy()
@@ -177,12 +178,15 @@ def by_filter(reads: DataFrame, index: IndexModel) -> DataFrame:
                 yield pa.record_batch([pa.array(h[some]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bins, pa.int32()))], names=["h", "bins"])
         memory.release()
 
-    of = (F.col("block") / slab).cast("long").alias("slab")
-    wanted = reads.select(F.explode("minimisers").alias("h")).distinct().select(_block(n).alias("block"), "h")
-    hashes = wanted.select(of, F.pmod(F.xxhash64("h", F.lit(1)), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "block", "h", F.lit(None).cast("array<int>").alias("bins"), F.lit(None).cast("binary").alias("bits"))
-    slabs = filter_blocks(index, n).select(of, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), "block", F.lit(0).cast("long").alias("h"), "bins", "bits")
-    dealt = slabs.unionByName(hashes).repartition(tasks, "slab", "part").sortWithinPartitions("slab", "part", "kind")
-    by_hash = dealt.select(*names).mapInArrow(probed, "h long, bins array<int>")
+    # few columns, since every row that goes to Python costs by their number; a slab's part comes first, then its hashes
+    key = lambda part, kind: ((F.floor(F.col("block") / slab) * parts + part) * 2 + kind).cast("long").alias("key")
+    wanted = reads.select(F.explode("minimisers").alias("h")).distinct().select("h", _block(n).alias("block"))
+    hashes = wanted.select(key(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(parts)), 1), "block", "h", F.lit(None).cast("binary").alias("body"))
+    body = F.concat(F.encode(F.concat(F.concat_ws(",", F.col("bins").cast("array<string>")), F.lit(":")), "utf-8"), "bits")
+    repeated = filter_blocks(index, n).select("block", body.alias("body"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    slabs = repeated.select(key(F.col("part"), 0), "block", F.lit(0).cast("long").alias("h"), "body")
+    dealt = slabs.unionByName(hashes).repartition(tasks, F.shiftright("key", 1)).sortWithinPartitions("key")
+    by_hash = dealt.mapInArrow(probed, "h long, bins array<int>")
     return _gather(reads.select("read_ord", F.explode("minimisers").alias("h")).join(by_hash, "h", "left"))
 
 
