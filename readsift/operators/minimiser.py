@@ -30,9 +30,10 @@ def _lists(seqs: pa.Array, k: int, w: int, emission: str) -> pa.Array:
 def minimisers(seq: Column, k: int = 19, w: int = 41, emission: str = "exact") -> Column:
     """Minimiser hashes of a sequence (array of long): with multiplicity in order of emission, or the sorted set.
 
-    Null and short sequences give an empty array.
+    Null and short sequences give an empty array. The planner takes it for nondeterministic: the filter on empty arrays that
+    it infers from an explode would else compute it again, in one more worker a core.
     """
-    return F.arrow_udf(lambda seqs: _lists(seqs, k, w, emission), "array<bigint>")(seq)
+    return F.arrow_udf(lambda seqs: _lists(seqs, k, w, emission), "array<bigint>").asNondeterministic()(seq)
 
 
 def paired_minimisers(first: Column, second: Column, k: int = 19, w: int = 41, emission: str = "exact") -> Column:

@@ -43,6 +43,17 @@ def test_a_batch_of_reads_takes_little_memory(emission):
         tracemalloc.stop()
 
 
+def test_minimisers_of_a_read_are_computed_once(spark):
+    reads = spark.createDataFrame([(1, "ACGTTGCAAT" * 9), (2, ""), (3, None)], "read_ord long, seq string")
+    found = reads.select("read_ord", minimiser.minimisers(F.col("seq"), 7, 12, "distinct").alias("minimisers"))
+    each = found.select("read_ord", F.explode("minimisers").alias("h"))
+    assert each._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.read_ord for r in each.collect()} == {1}
+    alone = reads.select("read_ord", F.explode(minimiser.minimisers(F.col("seq"), 7, 12, "distinct")).alias("h"))
+    assert alone._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(alone.collect()) == sorted(each.collect())
+
+
 def test_pieces_held_at_once_are_bounded_by_bytes():
     batch = pa.record_batch([pa.array([0] * 300, pa.int32()), pa.array(["A" * 100_000] * 300)], names=["bin", "seq"])
     held = [sum(len(s) for _, s in x) for x in index._cut([batch], 41, index.PIECE)]
